@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from figurant.llm import bpe, warc
+from figurant.llm import bpe, mixing, warc
 from figurant.llm.stages import table
 
 
@@ -18,18 +18,22 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive(spark, table(spark, sf_dir, "pages"), min_bytes=0)
 
 
-QUERIES = {"op9_bpe": op9_bpe, "op10_warc": op10_warc}
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op8_mixing": op8_mixing, "op9_bpe": op9_bpe, "op10_warc": op10_warc}
 
 #: SHA-1 in base32: each hexadecimal digit as four bits, then each five bits as a letter.
 _SQL10 = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
 d AS (SELECT page_id, CAST(octet_length(encode(body)) AS BIGINT) AS payload_bytes, sha1(body) AS hex,
              max(page_id) OVER (PARTITION BY body) AS best FROM p),
-b AS (SELECT *, array_to_string(list_transform(range(1, 41), i -> substr(
+b AS (SELECT *, array_to_string(list_transform(range(1, 41), lambda i: substr(
       '0000000100100011010001010110011110001001101010111100110111101111',
       4 * (strpos('0123456789abcdef', substr(hex, CAST(i AS INTEGER), 1)) - 1) + 1, 4)), '') AS bits FROM d)
 SELECT page_id, payload_bytes,
-       array_to_string(list_transform(range(0, 32), i -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+       array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
          1 + 16 * CAST(substr(bits, CAST(5 * i + 1 AS INTEGER), 1) AS INTEGER) + 8 * CAST(substr(bits, CAST(5 * i + 2 AS INTEGER), 1) AS INTEGER)
            + 4 * CAST(substr(bits, CAST(5 * i + 3 AS INTEGER), 1) AS INTEGER) + 2 * CAST(substr(bits, CAST(5 * i + 4 AS INTEGER), 1) AS INTEGER)
            + CAST(substr(bits, CAST(5 * i + 5 AS INTEGER), 1) AS INTEGER), 1)), '') AS payload_digest,
