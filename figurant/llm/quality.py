@@ -51,7 +51,8 @@ def distance(p: Column, q: Column) -> Column:
         part = lambda v: F.when(v > 0, v * F.log2(v / middle)).otherwise(0.0)
         return (part(x) + part(y)) / 2
 
-    return F.sqrt(F.greatest(F.lit(0.0), F.aggregate(F.zip_with(share(p), share(q), term), F.lit(0.0), lambda s, x: s + x)))
+    square = F.aggregate(F.zip_with(share(p), share(q), term), F.lit(0.0), lambda s, x: s + x)
+    return F.when(square.isNotNull(), F.sqrt(F.greatest(F.lit(0.0), square)))
 
 
 def measures(docs: DataFrame) -> DataFrame:
