@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from figurant.llm import bpe, mixing, quality, warc
+from figurant.llm import bpe, mixing, quality, substrings, warc
 from figurant.llm.stages import table
 
 
@@ -22,11 +22,15 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"))
 
 
+def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.digests(table(spark, sf_dir, "documents"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op2_quality": op2_quality, "op8_mixing": op8_mixing, "op9_bpe": op9_bpe, "op10_warc": op10_warc}
+QUERIES = {"op2_quality": op2_quality, "op4_substrings": op4_substrings, "op8_mixing": op8_mixing, "op9_bpe": op9_bpe, "op10_warc": op10_warc}
 
 #: SHA-1 in base32: each hexadecimal digit as four bits, then each five bits as a letter.
 _SQL10 = """
