@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from figurant.llm import bpe, jaccard, mixing, quality, substrings, warc
+from figurant.llm import bpe, embeddings, jaccard, mixing, quality, substrings, warc
 from figurant.llm.stages import table
 
 
@@ -30,11 +30,15 @@ def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.linked(table(spark, sf_dir, "documents"))
 
 
+def op6_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.linked(table(spark, sf_dir, "embeddings"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op2_quality": op2_quality, "op4_substrings": op4_substrings, "op5_jaccard": op5_jaccard, "op8_mixing": op8_mixing, "op9_bpe": op9_bpe, "op10_warc": op10_warc}
+QUERIES = {"op2_quality": op2_quality, "op4_substrings": op4_substrings, "op5_jaccard": op5_jaccard, "op6_embeddings": op6_embeddings, "op8_mixing": op8_mixing, "op9_bpe": op9_bpe, "op10_warc": op10_warc}
 
 #: SHA-1 in base32: each hexadecimal digit as four bits, then each five bits as a letter.
 _SQL10 = """
