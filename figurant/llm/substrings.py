@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from figurant.llm.stages import stage
-from figurant.llm.words import Block, blocks, mix
+from figurant.llm.words import BLOCK_BYTES, Block, blocks, mix
 
 #: Words of a window, and of a node.
 SPAN, NODE = 35, 12
@@ -102,7 +102,7 @@ def _unpacked(batch: pa.RecordBatch) -> Iterator[tuple[Block, pa.RecordBatch]]:
     sizes = batch.column("n_bytes").to_pylist()
     while i < n:
         j, held = i, 0
-        while j < n and (j == i or held + sizes[j] <= 1 << 21):
+        while j < n and (j == i or held + sizes[j] <= BLOCK_BYTES):
             held += sizes[j]
             j += 1
         part = batch.slice(i, j - i)
