@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from figurant.llm import bpe, embeddings, jaccard, mixing, quality, substrings, warc
+from figurant.llm import bpe, embeddings, jaccard, langid, licenses, mixing, quality, substrings, warc
 from figurant.llm.stages import table
 
 
@@ -18,6 +19,10 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive(spark, table(spark, sf_dir, "pages"), min_bytes=0)
 
 
+def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"))
 
@@ -34,11 +39,18 @@ def op6_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.linked(table(spark, sf_dir, "embeddings"))
 
 
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages, with a text model fit on a bounded sample of the labelled documents."""
+    model = langid.fit(table(spark, sf_dir, "documents"))
+    out = langid.identify(langid.page_evidence(table(spark, sf_dir, "pages")), model)
+    return out.select("page_id", "host", "declared", "text_language", "language", F.round("posterior", 6).alias("posterior"), "accepted")
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op2_quality": op2_quality, "op4_substrings": op4_substrings, "op5_jaccard": op5_jaccard, "op6_embeddings": op6_embeddings, "op8_mixing": op8_mixing, "op9_bpe": op9_bpe, "op10_warc": op10_warc}
+QUERIES = {"op1_licenses": op1_licenses, "op2_quality": op2_quality, "op4_substrings": op4_substrings, "op5_jaccard": op5_jaccard, "op6_embeddings": op6_embeddings, "op7_language": op7_language, "op8_mixing": op8_mixing, "op9_bpe": op9_bpe, "op10_warc": op10_warc}
 
 #: SHA-1 in base32: each hexadecimal digit as four bits, then each five bits as a letter.
 _SQL10 = """
