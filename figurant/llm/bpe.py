@@ -13,6 +13,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from figurant.llm.stages import arrow_map
+
 #: How byte-level BPE cuts a text into words (fixed by the vocabulary's format).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -187,7 +189,7 @@ def _mapped(docs: DataFrame, path: str, source: str, made: dict) -> DataFrame:
     from pyspark.sql.types import StructType
 
     schema = StructType([docs.schema[c] for c in names])
-    return docs.mapInArrow(run, StructType([*schema.fields, *StructType.fromDDL(f"{name} {ddl}").fields]))
+    return arrow_map(docs, run, StructType([*schema.fields, *StructType.fromDDL(f"{name} {ddl}").fields]))
 
 
 def _plain(column: pa.Array) -> Iterator:

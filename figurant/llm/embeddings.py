@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from figurant.llm.stages import components, stage
+from figurant.llm.stages import arrow_map, components, stage
 
 COSINE = 0.9
 #: Bits of a code, Hamming radius of candidates, and vectors that the rotation is learnt on.
@@ -176,8 +176,8 @@ def candidates(coded: DataFrame, tables: list[tuple[int, int]], radius: int) ->
                 has[i[here]] = has[j[here]] = True
             yield from t.select(names).filter(pa.array(has)).to_batches()
 
-    entered = coded.mapInArrow(enter, "bucket long, s long, code long")
-    return _sorted(_blocked(stage(entered))).mapInArrow(meet, "bucket long, x long, y long, side long, s long")
+    entered = arrow_map(coded, enter, "bucket long, s long, code long")
+    return arrow_map(_sorted(_blocked(stage(entered))), meet, "bucket long, x long, y long, side long, s long")
 
 
 def reranked(found: DataFrame, vectors: DataFrame, tables: list[tuple[int, int]], radius: int, cosine: float) -> DataFrame:
@@ -209,7 +209,7 @@ def reranked(found: DataFrame, vectors: DataFrame, tables: list[tuple[int, int]]
                 use = links > 0
                 yield pa.RecordBatch.from_arrays([pa.array(s[use]), pa.array(links[use]), pa.array(s[root[use]])], ["s", "links", "root"])
 
-    return _sorted(found.join(vectors, "s")).mapInArrow(rank, "s long, links long, root long")
+    return arrow_map(_sorted(found.join(vectors, "s")), rank, "s long, links long, root long")
 
 
 def linked(rows: DataFrame, cosine: float = COSINE, radius: int = RADIUS) -> DataFrame:
@@ -243,7 +243,7 @@ def linked(rows: DataFrame, cosine: float = COSINE, radius: int = RADIUS) -> Dat
                 x = np.array(batch.column("v").flatten(), np.float64).reshape(batch.num_rows, -1)
                 yield pa.RecordBatch.from_arrays([batch.column("s"), batch.column("v"), batch.column("size"), pa.array(encode(x, mean, projection).view(np.int64))], ["s", "v", "size", "code"])
 
-    coded = stage(classes.select("s", "v", "size").mapInArrow(code, "s long, v array<double>, size long, code long"))
+    coded = stage(arrow_map(classes.select("s", "v", "size"), code, "s long, v array<double>, size long, code long"))
     found = stage(candidates(coded.select("s", "code"), tables, radius))
     near = stage(reranked(found, coded, tables, radius, cosine))
     component = components(near.select(F.col("s").alias("a"), F.col("root").alias("b"))).withColumnRenamed("id", "s")

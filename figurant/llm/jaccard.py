@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from figurant.llm.stages import components, stage
+from figurant.llm.stages import arrow_map, components, stage
 from figurant.llm.words import Block, blocks, mix
 
 #: The query's shingles and percent of similarity; the pipeline's are five words and 80.
@@ -107,7 +107,7 @@ def profiles(docs: DataFrame, k: int, percent: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([ids[rows], marks[rows], pa.array(n.astype(np.int32)), *(pa.array(x.view(np.int64)) for x in sums), lists], ["doc_id", "mark", "n", "s", "s2", "keys"])
 
     docs = docs.select("doc_id", "text", F.xxhash64("text").alias("mark"))
-    return docs.mapInArrow(run, "doc_id long, mark long, n int, s long, s2 long, keys array<long>")
+    return arrow_map(docs, run, "doc_id long, mark long, n int, s long, s2 long, keys array<long>")
 
 
 def packed_texts(docs: DataFrame) -> DataFrame:
@@ -120,7 +120,7 @@ def packed_texts(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("mark"), pa.array([codec.compress(r, asbytes=True) for r in raw], pa.binary()), pa.array([r.size for r in raw], pa.int64())], ["mark", "packed", "n_bytes"])
 
     texts = docs.where("text <> ''").select("text", F.xxhash64("text").alias("mark"))
-    return texts.mapInArrow(run, "mark long, packed binary, n_bytes long").groupBy("mark").agg(F.first("packed").alias("packed"), F.first("n_bytes").alias("n_bytes"))
+    return arrow_map(texts, run, "mark long, packed binary, n_bytes long").groupBy("mark").agg(F.first("packed").alias("packed"), F.first("n_bytes").alias("n_bytes"))
 
 
 def fragments(texts: DataFrame, k: int) -> DataFrame:
@@ -139,7 +139,7 @@ def fragments(texts: DataFrame, k: int) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(np.append(at, len(grams)).astype(np.int32)), pa.array(grams.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([pa.array([s.as_py()] * len(at), pa.int64()), pa.array(np.full(len(at), len(grams), np.int32)), pa.array(part[at].astype(np.int32)), lists], ["s", "n", "fragment", "grams"])
 
-    return texts.mapInArrow(run, "s long, n int, fragment int, grams array<long>")
+    return arrow_map(texts, run, "s long, n int, fragment int, grams array<long>")
 
 
 def _compare(percent: int):
@@ -245,7 +245,7 @@ def linked(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame
     others = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))
     asks = met.where("outsider").withColumn("other", others).select("hub", F.col("own").alias("x"), F.col("other").alias("y"), "s", "component", F.lit(True).alias("outsider"))
     gives = met.withColumn("other", others).select("hub", F.col("other").alias("x"), F.col("own").alias("y"), "s", "component", F.lit(False).alias("outsider"))
-    packed = whole.mapInArrow(_as_bytes, "s long, grams binary")
+    packed = arrow_map(whole, _as_bytes, "s long, grams binary")
     tasks = asks.union(gives).join(packed, "s")
     rest = stage(tasks.groupBy("hub", "x", "y").applyInPandas(_compare(percent), "a long, b long"))
     second = components(rest)

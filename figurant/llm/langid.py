@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
-from figurant.llm.stages import stage
+from figurant.llm.stages import arrow_map, stage
 from figurant.llm.words import _LOWER, Block, blocks, mix
 
 #: Expected number of labelled documents that the text model is fit on, and most languages.
@@ -73,7 +73,7 @@ def fit(labelled: DataFrame, docs: int = FIT_DOCS) -> Model:
             at = np.flatnonzero(c)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int64()), pa.array(c[at], pa.int64())], ["lang", "cls", "c"])
 
-    counts = rows.select("text", "lang").mapInArrow(count, "lang string, cls long, c long").groupBy("lang", "cls").agg(F.sum("c").alias("c")).toPandas()
+    counts = arrow_map(rows.select("text", "lang"), count, "lang string, cls long, c long").groupBy("lang", "cls").agg(F.sum("c").alias("c")).toPandas()
     order = counts.groupby("lang").c.sum().sort_values(ascending=False, kind="stable").index[:MAX_LANGUAGES]
     languages = sorted(order)
     logs = np.zeros((len(languages) + 1, BUCKETS))
@@ -113,7 +113,7 @@ def scored(rows: DataFrame, model: Model, text: str = "text") -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, scores.size + 1, len(languages), dtype=np.int32)), pa.array(scores.ravel()))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), lists, best], [*names, "scores", "best"])
 
-    return rows.mapInArrow(run, StructType([*rows.schema.fields, StructField("scores", ArrayType(DoubleType())), *StructType.fromDDL("best string").fields]))
+    return arrow_map(rows, run, StructType([*rows.schema.fields, StructField("scores", ArrayType(DoubleType())), *StructType.fromDDL("best string").fields]))
 
 
 def _counts(languages: list[str]) -> Column:

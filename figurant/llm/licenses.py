@@ -13,6 +13,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from figurant.llm.stages import arrow_map
+
 #: Sentences of licence texts and headers, by identifier.
 SENTENCES = {
     "mit-grant": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:",
@@ -177,4 +179,4 @@ def scan(docs: DataFrame, *, text: str = "text", keep: tuple[str, ...] = ("doc_i
     from pyspark.sql.types import StructType
 
     made = StructType.fromDDL("sentences string, licences string, matches array<struct<licence: string, from: int, to: int>>")
-    return docs.select(*dict.fromkeys([*keep, text])).mapInArrow(run, StructType([*(docs.schema[c] for c in keep), *made.fields]))
+    return arrow_map(docs.select(*dict.fromkeys([*keep, text])), run, StructType([*(docs.schema[c] for c in keep), *made.fields]))

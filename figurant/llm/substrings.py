@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from figurant.llm.stages import stage
+from figurant.llm.stages import arrow_map, stage
 from figurant.llm.words import BLOCK_BYTES, Block, blocks, mix
 
 #: Words of a window, and of a node.
@@ -123,7 +123,7 @@ def _packed(docs: DataFrame) -> DataFrame:
                 out.append(codec.compress(raw, asbytes=True) if raw and raw.size else b"")
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("mark"), pa.array(out, pa.binary()), pa.array(sizes, pa.int64())], [*_KEY, "packed", "n_bytes"])
 
-    return docs.mapInArrow(run, "doc_id long, mark int, packed binary, n_bytes long")
+    return arrow_map(docs, run, "doc_id long, mark int, packed binary, n_bytes long")
 
 
 def occurrences(docs: DataFrame, span: int = SPAN, k: int = NODE) -> DataFrame:
@@ -139,7 +139,7 @@ def occurrences(docs: DataFrame, span: int = SPAN, k: int = NODE) -> DataFrame:
                 row = pa.array(p.doc + block.first)
                 yield pa.RecordBatch.from_arrays([pa.array(p.hash[p.nodes].view(np.int64)), pa.array(p.contexts().view(np.int64)), ids.take(row), marks.take(row), pa.array(p.ordinal.astype(np.int32))], ["node", "context", *_KEY, "ordinal"])
 
-    return docs.mapInArrow(run, "node long, context long, doc_id long, mark int, ordinal int")
+    return arrow_map(docs, run, "node long, context long, doc_id long, mark int, ordinal int")
 
 
 def removals(docs: DataFrame, span: int = SPAN, k: int = NODE) -> DataFrame:
@@ -166,7 +166,7 @@ def removals(docs: DataFrame, span: int = SPAN, k: int = NODE) -> DataFrame:
                     h, g = block.spans(at, at + span), block.spans(at, at + span, _OTHER)
                     yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array((g & np.uint64(0x7FFFFFFF)).astype(np.int32)), part.column("doc_id").take(row), part.column("mark").take(row), pa.array((at - block.words_of[doc]).astype(np.int32))], ["h", "g", *_KEY, "start"])
 
-    windows = flagged.where("flags is not null").mapInArrow(branches, "h long, g int, doc_id long, mark int, start int")
+    windows = arrow_map(flagged.where("flags is not null"), branches, "h long, g int, doc_id long, mark int, start int")
     windows = stage(windows)
     repeated = windows.groupBy("h", "g").agg(F.count("*").alias("n")).where("n > 1").drop("n")
     starts = windows.join(repeated, ["h", "g"]).groupBy(*_KEY).agg(F.collect_set("start").alias("starts"))
@@ -214,4 +214,4 @@ def _finished(docs: DataFrame, span: int, k: int, hashed: bool) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(texts, pa.string())], ["doc_id", "n_words", "n_removed", name])
 
     name = "kept_sha256" if hashed else "kept_text"
-    return removals(docs, span, k).mapInArrow(run, f"doc_id long, n_words long, n_removed long, {name} string")
+    return arrow_map(removals(docs, span, k), run, f"doc_id long, n_words long, n_removed long, {name} string")

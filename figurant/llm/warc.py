@@ -26,7 +26,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from figurant.llm.stages import scratch_dir, spread, stage
+from figurant.llm.stages import arrow_map, scratch_dir, spread, stage
 
 #: A package is closed at this many records or bytes, which bounds a reader's task.
 MAX_RECORDS = 50_000
@@ -257,7 +257,7 @@ def write(decided: DataFrame, folder: str) -> DataFrame:
         close()
         yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in done], t) for i, t in enumerate((pa.string(), pa.int64(), pa.int64()))], ["path", "bytes", "records"])
 
-    return stage(decided.mapInArrow(run, "path string, bytes long, records long"))
+    return stage(arrow_map(decided, run, "path string, bytes long, records long"))
 
 
 def read(manifest: DataFrame, folder: str, payloads: bool = True) -> DataFrame:
@@ -282,7 +282,7 @@ def read(manifest: DataFrame, folder: str, payloads: bool = True) -> DataFrame:
                             rows, held = [], 0
                 yield pack(rows)
 
-    return spread(manifest).mapInArrow(run, "page_id long, url string, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    return arrow_map(spread(manifest), run, "page_id long, url string, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
 def archive(spark: SparkSession, pages: DataFrame, min_bytes: int = 0, folder: str | None = None) -> DataFrame:
