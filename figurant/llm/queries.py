@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from figurant.llm import bpe, embeddings, jaccard, langid, licenses, mixing, quality, substrings, warc
+from figurant.llm import bpe, embeddings, jaccard, langid, licenses, lines, mixing, quality, substrings, warc
 from figurant.llm.stages import table
 
 
@@ -27,6 +27,11 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"))
 
 
+def op3_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = lines.dedup(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.digests(table(spark, sf_dir, "documents"))
 
@@ -50,7 +55,7 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_licenses": op1_licenses, "op2_quality": op2_quality, "op4_substrings": op4_substrings, "op5_jaccard": op5_jaccard, "op6_embeddings": op6_embeddings, "op7_language": op7_language, "op8_mixing": op8_mixing, "op9_bpe": op9_bpe, "op10_warc": op10_warc}
+QUERIES = {"op1_licenses": op1_licenses, "op2_quality": op2_quality, "op3_lines": op3_lines, "op4_substrings": op4_substrings, "op5_jaccard": op5_jaccard, "op6_embeddings": op6_embeddings, "op7_language": op7_language, "op8_mixing": op8_mixing, "op9_bpe": op9_bpe, "op10_warc": op10_warc}
 
 #: SHA-1 in base32: each hexadecimal digit as four bits, then each five bits as a letter.
 _SQL10 = """
