@@ -15,10 +15,10 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from figurant.llm.stages import arrow_map, components, stage
+from figurant.llm.stages import WORD, arrow_map, components, stage
 from figurant.llm.words import Block, blocks, mix
 
 #: The query's shingles and percent of similarity; the pipeline's are five words and 80.
@@ -195,20 +195,8 @@ def _labelled(nodes: DataFrame, found: DataFrame) -> DataFrame:
     return nodes.join(found.withColumnRenamed("id", "s"), "s", "left").withColumn("component", F.coalesce("component", "s"))
 
 
-def linked(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept: a row per row of ``docs``.
-
-    A document's set holds the distinct ``k``-word shingles of its text after lower-casing
-    A-Z (of a shorter text its whole sequence; none without words). Two documents link when
-    100 * intersection >= percent * union; empty sets link with nothing. ``component_id`` is
-    the smallest doc_id reachable by links, the document's own included; ``kept`` marks one
-    row id of each component, that with doc_id = component_id.
-
-    Null texts count as empty. Rows with equal ids are documents of their own. A null doc_id
-    takes part in links but never names a component, unless it has no other: then
-    component_id is null (and kept false). An empty table gives no rows; further columns are
-    ignored. Shingles are compared by 64-bit hashes.
-    """
+def _classified(docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """doc_id, mark, n, component, component_id for each row; the last two null where n = 0."""
     docs = docs.select("doc_id", "text")
     rows = stage(profiles(docs, k, percent))
     same = ["n", "s", "s2"]
@@ -253,13 +241,45 @@ def linked(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame
     alone = second.join(first, "id", "left_anti").select("id", "component")
     named = _labelled(classes.select(*same, "rep"), joined.union(alone))
     best = named.groupBy("component").agg(F.min("rep").alias("component_id"))
-    named = named.join(best, "component").select(*same, "component_id")
-    out = rows.select("doc_id", *same).join(named, same, "left")
+    named = named.join(best, "component").select(*same, "component", "component_id")
+    return rows.select("doc_id", "mark", *same).join(named, same, "left").select("doc_id", "mark", "n", "component", "component_id")
+
+
+def linked(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept: a row per row of ``docs``.
+
+    A document's set holds the distinct ``k``-word shingles of its text after lower-casing
+    A-Z (of a shorter text its whole sequence; none without words). Two documents link when
+    100 * intersection >= percent * union; empty sets link with nothing. ``component_id`` is
+    the smallest doc_id reachable by links, the document's own included; ``kept`` marks one
+    row id of each component, that with doc_id = component_id.
+
+    Null texts count as empty. Rows with equal ids are documents of their own. A null doc_id
+    takes part in links but never names a component, unless it has no other: then
+    component_id is null (and kept false). An empty table gives no rows; further columns are
+    ignored. Shingles are compared by 64-bit hashes.
+    """
+    out = _classified(docs, k, percent)
     component = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
     out = out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), component.alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
 
 
+def deduplicated(docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """``docs`` with one row of each component: that of the smallest doc_id (null last), of
+    equal ids that of the smallest text hash. Documents without words all stay. All columns
+    are kept."""
+    rows = _classified(docs, k, percent).where("n > 0")
+    chosen = rows.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")).alias("c"))
+    chosen = chosen.select(F.col("c.doc_id").alias("__id"), F.col("c.mark").alias("__m"))
+    marked = docs.withColumn("__mark", F.xxhash64("text"))
+    joined = marked.join(chosen, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__mark") == F.col("__m")), "left")
+    again = F.row_number().over(Window.partitionBy("doc_id", "__mark").orderBy("__mark"))
+    wordless = ~F.coalesce("text", F.lit("")).rlike(WORD)
+    kept = joined.withColumn("__again", again).where(wordless | (F.col("__m").isNotNull() & (F.col("__again") == 1)))
+    return kept.select(*docs.columns)
+
+
 def _as_bytes(batches):
     for batch in batches:
         lists = batch.column("grams")
