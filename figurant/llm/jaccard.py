@@ -7,7 +7,9 @@ fragments: those are the join keys (small sets use single shingles, the finest f
 Documents with a common key are compared with the key's hub; the overlap is counted fragment
 by fragment and summed per pair. Documents that didn't join their hub's component are then
 compared with all others at that hub, in blocks. Documents with equal sets are one class from
-the start, and no list of pairs within a group is ever made.
+the start, and no list of pairs within a group is ever made. Before sets are fetched, pairs
+are screened by a parity bitmap of each set: bits in which two bitmaps differ are at most the
+shingles in which the sets differ, so no link is lost.
 """
 
 from __future__ import annotations
@@ -15,9 +17,10 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from figurant.llm.embeddings import _pairs, whole_groups
 from figurant.llm.stages import WORD, arrow_map, components, stage
 from figurant.llm.words import Block, blocks, mix
 
@@ -30,7 +33,11 @@ FRAGMENTS = 8
 #: Documents of a block where all pairs are compared, and shingles of a dense strip.
 BLOCK_DOCS, STRIP = 256, 2048
 
-_SECOND = np.uint64(0xA0761D6478BD642F)
+#: 64-bit words of a parity bitmap.
+BITMAP = 4
+
+_SECOND, _THIRD = np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)
+_BITS = [f"b{i}" for i in range(BITMAP)]
 
 
 def differing(n: np.ndarray, percent: int) -> np.ndarray:
@@ -78,9 +85,22 @@ def _keys(doc: np.ndarray, grams: np.ndarray, bits: np.ndarray, keep: np.ndarray
     return owner[use], key[use]
 
 
+def bitmaps(doc: np.ndarray, grams: np.ndarray, n_docs: int) -> np.ndarray:
+    """The parity bitmap of each document: each shingle flips one of its bits."""
+    out = np.zeros((BITMAP, n_docs), np.uint64)
+    if len(doc):
+        place = mix(grams ^ _THIRD)
+        bit = np.uint64(1) << (place & np.uint64(63))
+        word = (place >> np.uint64(32)) % np.uint64(BITMAP)
+        at = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
+        for w in range(BITMAP):
+            out[w, doc[at]] = np.bitwise_xor.reduceat(np.where(word == w, bit, np.uint64(0)), at)
+    return out
+
+
 def profiles(docs: DataFrame, k: int, percent: int) -> DataFrame:
     """A row per document: doc_id, mark (hash of the text), n (set size), s, s2 (128-bit hash
-    of the set; ``s`` is its node's id), keys (array<long>)."""
+    of the set; ``s`` is its node's id), the words of its bitmap, keys (array<long>)."""
 
     def run(batches):
         for batch in batches:
@@ -104,10 +124,10 @@ def profiles(docs: DataFrame, k: int, percent: int) -> DataFrame:
                 starts = np.searchsorted(owner[order], np.arange(block.n_docs + 1)).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(starts), pa.array(key[order].view(np.int64)))
                 rows = slice(block.first, block.last)
-                yield pa.RecordBatch.from_arrays([ids[rows], marks[rows], pa.array(n.astype(np.int32)), *(pa.array(x.view(np.int64)) for x in sums), lists], ["doc_id", "mark", "n", "s", "s2", "keys"])
+                yield pa.RecordBatch.from_arrays([ids[rows], marks[rows], pa.array(n.astype(np.int32)), *(pa.array(x.view(np.int64)) for x in (*sums, *bitmaps(doc, grams, block.n_docs))), lists], ["doc_id", "mark", "n", "s", "s2", *_BITS, "keys"])
 
     docs = docs.select("doc_id", "text", F.xxhash64("text").alias("mark"))
-    return arrow_map(docs, run, "doc_id long, mark long, n int, s long, s2 long, keys array<long>")
+    return arrow_map(docs, run, f"doc_id long, mark long, n int, s long, s2 long, {', '.join(f'{b} long' for b in _BITS)}, keys array<long>")
 
 
 def packed_texts(docs: DataFrame) -> DataFrame:
@@ -195,46 +215,84 @@ def _labelled(nodes: DataFrame, found: DataFrame) -> DataFrame:
     return nodes.join(found.withColumnRenamed("id", "s"), "s", "left").withColumn("component", F.coalesce("component", "s"))
 
 
+def _may_link(percent: int) -> Column:
+    """Whether sizes and bitmaps allow a link of ``s`` and ``hub``."""
+    apart = sum((F.bit_count(F.col(b).bitwiseXOR(F.col(f"hub_{b}"))) for b in _BITS[1:]), F.bit_count(F.col(_BITS[0]).bitwiseXOR(F.col(f"hub_{_BITS[0]}"))))
+    total = F.col("n") + F.col("hub_n")
+    return (100 * F.least("n", "hub_n") >= percent * F.greatest("n", "hub_n")) & (apart * (100 + percent) <= total * (100 - percent))
+
+
+def _tasks(met: DataFrame, *carried: str) -> DataFrame:
+    """From rows (hub, s, outsider, ``carried``): hub, x, y, s, ``carried``, outsider. Each
+    outsider of block x meets each document of block y, its own block too. Hubs without
+    outsiders, or with one document, give no tasks."""
+    open_ = met.groupBy("hub").agg(F.count("*").alias("m"), F.count_if("outsider").alias("out")).where("out > 0 and m > 1").drop("out")
+    r = met.join(open_, "hub").withColumn("parts", F.ceil(F.col("m") / BLOCK_DOCS)).withColumn("own", F.pmod(F.xxhash64("s"), F.col("parts")))
+    r = r.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    asks = r.where("outsider").select("hub", F.col("own").alias("x"), F.col("other").alias("y"), "s", *carried, F.lit(True).alias("outsider"))
+    return asks.union(r.select("hub", F.col("other").alias("x"), F.col("own").alias("y"), "s", *carried, F.lit(False).alias("outsider")))
+
+
+def _screened(at_hub: DataFrame, percent: int) -> DataFrame:
+    """hub, s: the documents that can't link with their hub, but by size and bitmap may link
+    with another document there, and those others."""
+    tasks = _tasks(at_hub.withColumn("outsider", ~F.col("near")), "n", *_BITS)
+
+    def run(batches):
+        for t, group in whole_groups(batches, ["hub", "x", "y"]):
+            n, asks, s = (t.column(c).to_numpy(zero_copy_only=False) for c in ("n", "outsider", "s"))
+            bits = [t.column(b).to_numpy().view(np.uint64) for b in _BITS]
+            has = np.zeros(len(group), bool)
+            for i, j in _pairs(group, np.zeros(len(group), bool), asks):
+                use = (s[i] != s[j]) & (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j]))
+                i, j = i[use], j[use]
+                apart = sum(np.bitwise_count(b[i] ^ b[j]).astype(np.int64) for b in bits)
+                use = apart * (100 + percent) <= (n[i].astype(np.int64) + n[j]) * (100 - percent)
+                has[i[use]] = has[j[use]] = True
+            yield from t.select(["hub", "s"]).filter(pa.array(has)).to_batches()
+
+    dealt = tasks.repartition("hub", "x", "y").sortWithinPartitions("hub", "x", "y")
+    return arrow_map(dealt, run, "hub long, s long").distinct()
+
+
 def _classified(docs: DataFrame, k: int, percent: int) -> DataFrame:
     """doc_id, mark, n, component, component_id for each row; the last two null where n = 0."""
     docs = docs.select("doc_id", "text")
     rows = stage(profiles(docs, k, percent))
     same = ["n", "s", "s2"]
-    classes = stage(rows.where("n > 0").groupBy(*same).agg(F.min("doc_id").alias("rep"), F.min("mark").alias("mark"), F.first("keys").alias("keys")))
+    firsts = [F.first(c).alias(c) for c in (*_BITS, "keys")]
+    classes = stage(rows.where("n > 0").groupBy(*same).agg(F.min("doc_id").alias("rep"), F.min("mark").alias("mark"), *firsts))
     posted = classes.select("s", F.explode("keys").alias("key"))
     often = posted.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").drop("c")
     shared = stage(posted.join(often, "key"))
     # a key's hub: the class with most shared keys, which edited copies of it have fewer of
     score = shared.groupBy("s").agg(F.count("*").cast("int").alias("score"))
     hubs = shared.join(score, "s").groupBy("key").agg(F.max(F.struct("score", "s"))["s"].alias("hub"))
-    stars = stage(shared.join(hubs, "key").where("s <> hub").select("s", "hub").distinct())
-    ends = stars.select("s").union(stars.select("hub")).distinct()
+    slim = classes.select("s", "n", *_BITS)
+    at_hub = shared.join(hubs, "key").where("s <> hub").select("s", "hub").distinct().join(slim, "s")
+    at_hub = at_hub.join(slim.select(*(F.col(c).alias(f"hub_{c}" if c != "s" else "hub") for c in slim.columns)), "hub")
+    at_hub = stage(at_hub.withColumn("near", _may_link(percent)).select("hub", *slim.columns, "near"))
+    stars = at_hub.where("near").select("s", "hub")
+    others = stage(_screened(at_hub, percent))
+    ends = stars.select("s").union(stars.select("hub")).union(others.select("s")).distinct()
     wanted = classes.join(ends, "s", "left_semi").select("s", "mark")
     sets = stage(fragments(packed_texts(docs).join(wanted, "mark").select("s", "packed", "n_bytes"), k))
 
     left = stars.join(sets.select("s", F.col("n").alias("n_s"), "fragment", F.col("grams").alias("g_s")), "s")
     right = sets.select(F.col("s").alias("hub"), F.col("n").alias("n_hub"), "fragment", F.col("grams").alias("g_hub"))
-    near = (100 * F.least("n_s", "n_hub") >= percent * F.greatest("n_s", "n_hub"))
-    part = left.join(right, ["hub", "fragment"]).where(near).select("s", "hub", "n_s", "n_hub", F.size(F.array_intersect("g_s", "g_hub")).alias("o"))
+    part = left.join(right, ["hub", "fragment"]).select("s", "hub", "n_s", "n_hub", F.size(F.array_intersect("g_s", "g_hub")).alias("o"))
     pairs = part.groupBy("s", "hub", "n_s", "n_hub").agg(F.sum("o").alias("o"))
     links = stage(pairs.where(100 * F.col("o") >= percent * (F.col("n_s") + F.col("n_hub") - F.col("o"))).select(F.col("s").alias("a"), F.col("hub").alias("b")))
     first = stage(components(links))
 
     # what isn't in its hub's component meets everything at that hub
-    members = stars.union(stars.select("hub", "hub").distinct())
-    at_hub = _labelled(members, first).join(first.select(F.col("id").alias("hub"), F.col("component").alias("hub_component")), "hub", "left")
-    at_hub = at_hub.withColumn("outsider", F.col("component") != F.coalesce("hub_component", "hub"))
-    at_hub = stage(at_hub.select("hub", "s", "component", "outsider"))
-    open_ = at_hub.groupBy("hub").agg(F.count("*").alias("m"), F.count_if("outsider").alias("out")).where("out > 0 and m > 2")
+    members = stars.union(others.select("s", "hub")).distinct()
+    met = _labelled(members, first).join(first.select(F.col("id").alias("hub"), F.col("component").alias("hub_component")), "hub", "left")
+    met = stage(met.select("hub", "s", "component", (F.col("component") != F.coalesce("hub_component", "hub")).alias("outsider")))
     whole = sets.groupBy("s").agg(F.sort_array(F.collect_list(F.struct("fragment", "grams"))).alias("f"))
     whole = whole.select("s", F.flatten(F.transform("f", lambda x: x["grams"])).alias("grams"))
-    split = F.greatest(F.lit(1), F.ceil(F.col("m") / BLOCK_DOCS))
-    met = at_hub.join(open_, "hub").withColumn("parts", split).withColumn("own", F.pmod(F.xxhash64("s"), F.col("parts"))).where("s <> hub")
-    others = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))
-    asks = met.where("outsider").withColumn("other", others).select("hub", F.col("own").alias("x"), F.col("other").alias("y"), "s", "component", F.lit(True).alias("outsider"))
-    gives = met.withColumn("other", others).select("hub", F.col("other").alias("x"), F.col("own").alias("y"), "s", "component", F.lit(False).alias("outsider"))
     packed = arrow_map(whole, _as_bytes, "s long, grams binary")
-    tasks = asks.union(gives).join(packed, "s")
+    tasks = _tasks(met, "component").join(packed, "s")
     rest = stage(tasks.groupBy("hub", "x", "y").applyInPandas(_compare(percent), "a long, b long"))
     second = components(rest)
     joined = first.join(second.select(F.col("id").alias("component"), F.col("component").alias("c2")), "component", "left").select("id", F.coalesce("c2", "component").alias("component"))
