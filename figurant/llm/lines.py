@@ -36,14 +36,21 @@ def word_lines(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return doc[at], number[at], at
 
 
-def simhash(hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """SimHash of each run of word hashes that starts at ``at``: bit by bit the majority."""
+def weights(lengths: np.ndarray) -> np.ndarray:
+    """Weight of a word by its length in bytes: short words are common, and would make the
+    SimHashes of all lines of a language alike."""
+    return np.square(np.clip(lengths, 3, 16) - 2).astype(np.int32)
+
+
+def simhash(hashes: np.ndarray, weight: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """SimHash of each run of weighted word hashes that starts at ``at``: bit by bit what the
+    words of more than half the weight have."""
     if not len(at):
         return np.zeros(0, np.uint64)
     bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1)
-    sums = np.add.reduceat(bits, at, axis=0, dtype=np.int32)
-    n = np.diff(np.append(at, len(hashes)))
-    return np.packbits(2 * sums > n[:, None], axis=1).view(np.uint64).ravel()
+    sums = np.add.reduceat(bits * weight[:, None], at, axis=0, dtype=np.int64)
+    total = np.add.reduceat(weight, at, dtype=np.int64)
+    return np.packbits(2 * sums > total[:, None], axis=1).view(np.uint64).ravel()
 
 
 def block_masks(count: int, radius: int = RADIUS) -> list[int]:
@@ -112,7 +119,7 @@ def listed(docs: DataFrame) -> DataFrame:
                 n = (ends - at).astype(np.int32)
                 h = mix(block.spans(at, ends) + n.astype(np.uint64))
                 row = pa.array(doc + block.first)
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(simhash(block.hashes, at).view(np.int64)), pa.array(n), batch.column("doc_id").take(row), batch.column("mark").take(row), pa.array(number.astype(np.int32))], ["line", "sim", "n", *_KEY, "number"])
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(simhash(block.hashes, weights(block.ends - block.starts), at).view(np.int64)), pa.array(n), batch.column("doc_id").take(row), batch.column("mark").take(row), pa.array(number.astype(np.int32))], ["line", "sim", "n", *_KEY, "number"])
 
     return arrow_map(docs, run, "line long, sim long, n int, doc_id long, mark int, number int")
 

@@ -50,7 +50,10 @@ def lower(t):
 
 def code(words):
     (block,) = blocks(pa.array([" ".join(words)]))
-    return sum((2 * sum(int(h) >> b & 1 for h in block.hashes) > len(words)) << b for b in range(64))
+    weight = [(min(max(len(w.encode()), 3), 16) - 2) ** 2 for w in words]
+    # bytes of a hash are taken in memory order, bits of a byte from the highest
+    place = [8 * (b // 8) + 7 - b % 8 for b in range(64)]
+    return sum((2 * sum(w * (int(h) >> b & 1) for h, w in zip(block.hashes, weight)) > sum(weight)) << b for b in place)
 
 
 def brute(rows):
