@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from figurant.llm.stages import arrow_map, components, stage
+from figurant.llm.stages import arrow_map, components, least_labels, stage
 
 COSINE = 0.9
 #: Bits of a code, Hamming radius of candidates, and vectors that the rotation is learnt on.
@@ -123,18 +123,6 @@ def _pairs(group: np.ndarray, same: np.ndarray, side: np.ndarray) -> Iterator[tu
         d += 1
 
 
-def _least_labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    label = np.arange(n)
-    while True:
-        low = np.minimum(label[a], label[b])
-        before = label.copy()
-        np.minimum.at(label, a, low)
-        np.minimum.at(label, b, low)
-        label = label[label]
-        if (label == before).all():
-            return label
-
-
 def _blocked(rows: DataFrame) -> DataFrame:
     """``rows`` (with bucket and s) of buckets of two or more, as groups (bucket, x, y) of at
     most about two blocks; ``side`` is the row's own block."""
@@ -205,7 +193,7 @@ def reranked(found: DataFrame, vectors: DataFrame, tables: list[tuple[int, int]]
                 left.append(i)
                 right.append(j)
             if left:
-                root = _least_labels(len(s), np.concatenate(left), np.concatenate(right))
+                root = least_labels(len(s), np.concatenate(left), np.concatenate(right))
                 use = links > 0
                 yield pa.RecordBatch.from_arrays([pa.array(s[use]), pa.array(links[use]), pa.array(s[root[use]])], ["s", "links", "root"])
 

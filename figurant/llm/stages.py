@@ -7,6 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -77,15 +78,47 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(n)
 
 
+#: Links (16 bytes each) up to which one task finds the components.
+LINKS_OF_ONE_TASK = 1 << 20
+
+
+def least_labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For nodes 0 .. n - 1 and links a - b the least node of each node's component."""
+    label = np.arange(n)
+    while True:
+        low = np.minimum(label[a], label[b])
+        before = label.copy()
+        np.minimum.at(label, a, low)
+        np.minimum.at(label, b, low)
+        np.minimum.at(label, before[a], low)
+        np.minimum.at(label, before[b], low)
+        label = label[label]
+        if (label == before).all():
+            return label
+
+
+def _labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    got = [(x.column("a").to_numpy(), x.column("b").to_numpy()) for x in batches]
+    if got:
+        a, b = (np.concatenate(x) for x in zip(*got, strict=True))
+        ids, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+        label = least_labels(len(ids), at[: len(a)], at[len(a) :])
+        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(ids[label])], ["id", "component"])
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``edges`` has longs ``a`` and ``b``. Returns (id, component) for every end of an edge;
-    ``component`` is the smallest id reachable from it.
+    ``component`` is the smallest id reachable from it. Nulls and loops are dropped; repeats
+    count once.
 
-    Alternates large-star and small-star steps until nothing changes; each is one aggregate
-    and one join on the node, so no neighbourhood is ever gathered in one place, and a hub's
-    rows can be split between tasks. Nulls and loops are dropped; repeats count once.
+    The links are counted first. Up to ``LINKS_OF_ONE_TASK`` of them are a few megabytes, which
+    one task labels. Beyond that, large-star and small-star steps alternate until nothing
+    changes: each is one aggregate and one join on the node, so no neighbourhood is ever
+    gathered in one place, and a hub's rows can be split between tasks.
     """
     now = stage(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    if now.count() <= LINKS_OF_ONE_TASK:
+        return stage(arrow_map(now.coalesce(1), _labelled, "id long, component long"))
     mark = None
     while True:
         both = now.union(now.select("b", "a"))
