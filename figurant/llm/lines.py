@@ -48,9 +48,13 @@ def simhash(hashes: np.ndarray, weight: np.ndarray, at: np.ndarray) -> np.ndarra
     if not len(at):
         return np.zeros(0, np.uint64)
     bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1)
-    sums = np.add.reduceat(bits * weight[:, None], at, axis=0, dtype=np.int64)
-    total = np.add.reduceat(weight, at, dtype=np.int64)
-    return np.packbits(2 * sums > total[:, None], axis=1).view(np.uint64).ravel()
+    ends = np.append(at[1:], len(hashes))
+    out = np.empty((len(at), 64), bool)
+    for k, (i, j) in enumerate(zip(at.tolist(), ends.tolist(), strict=True)):
+        kind = np.float32 if j - i < 1 << 16 else np.float64  # exact for so much weight
+        w = weight[i:j].astype(kind)
+        out[k] = 2 * (w @ bits[i:j].astype(kind)) > w.sum()
+    return np.packbits(out, axis=1).view(np.uint64).ravel()
 
 
 def block_masks(count: int, radius: int = RADIUS) -> list[int]:
