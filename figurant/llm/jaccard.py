@@ -4,8 +4,8 @@ The global order of shingles is that of their 64-bit hashes. It is cut into frag
 number of which grows with a document's set. Two sets that differ in at most h shingles agree
 on all but h fragments, so linked documents share one of their first h + 1 non-empty
 fragments: those are the join keys (small sets use single shingles, the finest fragments).
-Documents with a common key are compared with the key's hub; the overlap is counted fragment
-by fragment and summed per pair. Documents that didn't join their hub's component are then
+Documents with a common key are compared with the key's hub: texts travel compressed, and
+their overlap is counted fragment by fragment and summed per pair. Documents that didn't join their hub's component are then
 compared with all others at that hub, in blocks. Documents with equal sets are one class from
 the start, and no list of pairs within a group is ever made. Before sets are fetched, pairs
 are screened by a parity bitmap of each set: bits in which two bitmaps differ are at most the
@@ -28,9 +28,7 @@ from figurant.llm.words import Block, blocks, mix
 WORDS, PERCENT = 3, 90
 #: Sets of fewer shingles use single shingles as keys.
 SMALL = 64
-#: Fragments into which a set is cut to count overlaps.
-FRAGMENTS = 8
-#: Documents of a block where all pairs are compared, and shingles of a dense strip.
+#: Documents of a block, and shingles of a fragment in which their overlaps are counted.
 BLOCK_DOCS, STRIP = 256, 2048
 
 #: 64-bit words of a parity bitmap.
@@ -143,55 +141,67 @@ def packed_texts(docs: DataFrame) -> DataFrame:
     return arrow_map(texts, run, "mark long, packed binary, n_bytes long").groupBy("mark").agg(F.first("packed").alias("packed"), F.first("n_bytes").alias("n_bytes"))
 
 
-def fragments(texts: DataFrame, k: int) -> DataFrame:
-    """s, n, fragment, grams (sorted hashes): the sets of packed texts, cut into strips of the
-    global order. Empty strips have no row."""
+def _sets(part: pd.DataFrame, k: int) -> list[np.ndarray]:
+    """The shingle sets of packed texts."""
+    codec, out = pa.Codec("zstd"), []
+    for z, size in zip(part.packed, part.n_bytes, strict=True):
+        (block,) = blocks(pa.array([codec.decompress(z, int(size), asbytes=True)], pa.large_binary()), lower=True, limit=1 << 62)
+        out.append(shingle_sets(block, k)[1])
+    return out
 
-    def run(batches):
-        codec = pa.Codec("zstd")
-        for batch in batches:
-            for s, z, size in zip(batch.column("s"), batch.column("packed"), batch.column("n_bytes").to_pylist(), strict=True):
-                text = pa.array([codec.decompress(z.as_buffer(), size).to_pybytes()], pa.large_binary())
-                (block,) = blocks(text, lower=True)
-                _, grams = shingle_sets(block, k)
-                part = (grams >> np.uint64(64 - FRAGMENTS.bit_length() + 1)).astype(np.int64)
-                at = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
-                lists = pa.ListArray.from_arrays(pa.array(np.append(at, len(grams)).astype(np.int32)), pa.array(grams.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([pa.array([s.as_py()] * len(at), pa.int64()), pa.array(np.full(len(at), len(grams), np.int32)), pa.array(part[at].astype(np.int32)), lists], ["s", "n", "fragment", "grams"])
 
-    return arrow_map(texts, run, "s long, n int, fragment int, grams array<long>")
+def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Intersection sizes of all left with all right sets. The global order of shingles is cut
+    into fragments of ``STRIP`` that occur; partial overlaps are counted in each and summed."""
+    words = np.unique(np.concatenate([*left, np.zeros(0, np.uint64)]))  # others can't overlap
+    rows = []
+    for part in (left, right):
+        found = []
+        for x in part:
+            f = np.searchsorted(words, x)
+            found.append(f[(f < len(words)) & (words[np.minimum(f, len(words) - 1)] == x)] if len(words) else f[:0])
+        owner, at = np.repeat(np.arange(len(part)), [len(f) for f in found]), np.concatenate([*found, np.zeros(0, np.int64)])
+        order = np.argsort(at, kind="stable")
+        rows.append((owner[order], at[order]))
+    total = np.zeros((len(left), len(right)))
+    for low in range(0, len(words), STRIP):
+        dense = []
+        for (owner, at), part in zip(rows, (left, right), strict=True):
+            i, j = np.searchsorted(at, [low, low + STRIP])
+            x = np.zeros((len(part), min(STRIP, len(words) - low)), np.float32)
+            x[owner[i:j], at[i:j] - low] = 1
+            dense.append(x)
+        total += dense[0] @ dense[1].T
+    return total
+
+
+def _links(left: list[np.ndarray], right: list[np.ndarray], percent: int) -> np.ndarray:
+    shared = overlaps(left, right)
+    sizes = [np.array([len(x) for x in part], np.float64) for part in (left, right)]
+    return 100 * shared >= percent * (sizes[0][:, None] + sizes[1][None, :] - shared)
+
+
+def _with_hub(k: int, percent: int):
+    """The links of a block's documents with their hub, which is one of its rows."""
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        hub, rest = g[g.s == g.hub], g[g.s != g.hub]
+        if hub.empty or rest.empty:
+            return pd.DataFrame({"a": [], "b": []}, dtype="int64")
+        near = _links(_sets(hub[:1], k), _sets(rest, k), percent)[0]
+        return pd.DataFrame({"a": rest.s[near], "b": rest.hub[near]}, dtype="int64")
+
+    return run
 
 
-def _compare(percent: int):
-    """All outsiders of a block against all documents of another: links that join components.
-    Overlaps are counted in strips of the shared order of shingles, and summed."""
+def _compare(k: int, percent: int):
+    """All outsiders of a block against all documents of another: links that join components."""
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
         out, all_ = g[g.outsider], g[~g.outsider]
         if out.empty or all_.empty:
             return pd.DataFrame({"a": [], "b": []}, dtype="int64")
-        sets = [[np.frombuffer(x, np.int64) for x in part.grams] for part in (out, all_)]
-        words = np.unique(np.concatenate(sets[0] + [np.zeros(0, np.int64)]))  # others can't overlap
-        sizes = [np.array([len(x) for x in part]) for part in sets]
-        rows = []
-        for part in sets:
-            found = [np.searchsorted(words, x) for x in part]
-            found = [f[(f < len(words)) & (words[np.minimum(f, len(words) - 1)] == x)] for f, x in zip(found, part, strict=True)]
-            owner = np.repeat(np.arange(len(part)), [len(f) for f in found])
-            at = np.concatenate([*found, np.zeros(0, np.int64)])
-            order = np.argsort(at, kind="stable")
-            rows.append((owner[order], at[order]))
-        overlap = np.zeros((len(sets[0]), len(sets[1])))
-        for low in range(0, len(words), STRIP):
-            dense = []
-            for (owner, at), part in zip(rows, sets, strict=True):
-                a, b = np.searchsorted(at, [low, low + STRIP])
-                x = np.zeros((len(part), min(STRIP, len(words) - low)), np.float32)
-                x[owner[a:b], at[a:b] - low] = 1
-                dense.append(x)
-            overlap += dense[0] @ dense[1].T
-        union = sizes[0][:, None] + sizes[1][None, :] - overlap
-        a, b = np.nonzero(100 * overlap >= percent * union)
+        a, b = np.nonzero(_links(_sets(out, k), _sets(all_, k), percent))
         top: dict[int, int] = {}
 
         def find(x: int) -> int:
@@ -260,11 +270,12 @@ def _classified(docs: DataFrame, k: int, percent: int) -> DataFrame:
     docs = docs.select("doc_id", "text")
     rows = stage(profiles(docs, k, percent))
     same = ["n", "s", "s2"]
-    firsts = [F.first(c).alias(c) for c in (*_BITS, "keys")]
+    firsts = [F.first(c).alias(c) for c in _BITS]
     classes = stage(rows.where("n > 0").groupBy(*same).agg(F.min("doc_id").alias("rep"), F.min("mark").alias("mark"), *firsts))
-    posted = classes.select("s", F.explode("keys").alias("key"))
-    often = posted.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").drop("c")
-    shared = stage(posted.join(often, "key"))
+    posted = rows.where("n > 0").select("s", F.explode("keys").alias("key"))
+    # keys of one class alone, however many copies it has, lead nowhere
+    often = posted.groupBy("key").agg(F.min("s").alias("x"), F.max("s").alias("y")).where("x <> y").select("key")
+    shared = stage(posted.join(often, "key").distinct())
     # a key's hub: the class with most shared keys, which edited copies of it have fewer of
     score = shared.groupBy("s").agg(F.count("*").cast("int").alias("score"))
     hubs = shared.join(score, "s").groupBy("key").agg(F.max(F.struct("score", "s"))["s"].alias("hub"))
@@ -276,24 +287,20 @@ def _classified(docs: DataFrame, k: int, percent: int) -> DataFrame:
     others = stage(_screened(at_hub, percent))
     ends = stars.select("s").union(stars.select("hub")).union(others.select("s")).distinct()
     wanted = classes.join(ends, "s", "left_semi").select("s", "mark")
-    sets = stage(fragments(packed_texts(docs).join(wanted, "mark").select("s", "packed", "n_bytes"), k))
+    texts = stage(packed_texts(docs).join(wanted, "mark").select("s", "packed", "n_bytes"))
 
-    left = stars.join(sets.select("s", F.col("n").alias("n_s"), "fragment", F.col("grams").alias("g_s")), "s")
-    right = sets.select(F.col("s").alias("hub"), F.col("n").alias("n_hub"), "fragment", F.col("grams").alias("g_hub"))
-    part = left.join(right, ["hub", "fragment"]).select("s", "hub", "n_s", "n_hub", F.size(F.array_intersect("g_s", "g_hub")).alias("o"))
-    pairs = part.groupBy("s", "hub", "n_s", "n_hub").agg(F.sum("o").alias("o"))
-    links = stage(pairs.where(100 * F.col("o") >= percent * (F.col("n_s") + F.col("n_hub") - F.col("o"))).select(F.col("s").alias("a"), F.col("hub").alias("b")))
+    count = stars.groupBy("hub").agg(F.ceil(F.count("*") / BLOCK_DOCS).alias("parts"))
+    placed = stars.join(count, "hub").select("hub", F.pmod(F.xxhash64("s"), F.col("parts")).alias("x"), "s")
+    every = count.select("hub", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("x"), F.col("hub").alias("s"))
+    links = stage(placed.union(every).join(texts, "s").groupBy("hub", "x").applyInPandas(_with_hub(k, percent), "a long, b long"))
     first = stage(components(links))
 
     # what isn't in its hub's component meets everything at that hub
     members = stars.union(others.select("s", "hub")).distinct()
     met = _labelled(members, first).join(first.select(F.col("id").alias("hub"), F.col("component").alias("hub_component")), "hub", "left")
     met = stage(met.select("hub", "s", "component", (F.col("component") != F.coalesce("hub_component", "hub")).alias("outsider")))
-    whole = sets.groupBy("s").agg(F.sort_array(F.collect_list(F.struct("fragment", "grams"))).alias("f"))
-    whole = whole.select("s", F.flatten(F.transform("f", lambda x: x["grams"])).alias("grams"))
-    packed = arrow_map(whole, _as_bytes, "s long, grams binary")
-    tasks = _tasks(met, "component").join(packed, "s")
-    rest = stage(tasks.groupBy("hub", "x", "y").applyInPandas(_compare(percent), "a long, b long"))
+    tasks = _tasks(met, "component").join(texts, "s")
+    rest = stage(tasks.groupBy("hub", "x", "y").applyInPandas(_compare(k, percent), "a long, b long"))
     second = components(rest)
     joined = first.join(second.select(F.col("id").alias("component"), F.col("component").alias("c2")), "component", "left").select("id", F.coalesce("c2", "component").alias("component"))
     alone = second.join(first, "id", "left_anti").select("id", "component")
@@ -336,9 +343,3 @@ def deduplicated(docs: DataFrame, k: int, percent: int) -> DataFrame:
     wordless = ~F.coalesce("text", F.lit("")).rlike(WORD)
     kept = joined.withColumn("__again", again).where(wordless | (F.col("__m").isNotNull() & (F.col("__again") == 1)))
     return kept.select(*docs.columns)
-
-
-def _as_bytes(batches):
-    for batch in batches:
-        lists = batch.column("grams")
-        yield pa.RecordBatch.from_arrays([batch.column("s"), pa.array([np.asarray(x.values).tobytes() for x in lists], pa.binary())], ["s", "grams"])
