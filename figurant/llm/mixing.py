@@ -107,17 +107,19 @@ def laid_out(sized: DataFrame, sources: DataFrame, seed: int, block: int = BLOCK
     d = d.withColumn("start", F.coalesce(F.sum("size").over(in_run), F.lit(0)))
     runs = d.groupBy("rank", "run").agg(F.sum("size").alias("n"))
     runs = runs.withColumn("base", F.coalesce(F.sum("n").over(W.partitionBy("rank").orderBy("run").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("n")
-    d = d.join(runs, ["rank", "run"]).withColumn("start", F.col("start") + F.col("base")).withColumn("end", F.col("start") + F.col("size"))
+    d = d.join(runs.hint("merge"), ["rank", "run"]).withColumn("start", F.col("start") + F.col("base")).withColumn("end", F.col("start") + F.col("size"))
     d = d.withColumn("block", F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((F.col("end") - 1) / block))))
     low, high = F.greatest(F.col("start"), F.col("block") * block), F.least(F.col("end"), (F.col("block") + 1) * block)
     return d.select(*key, "rank", "block", (low - F.col("block") * block).alias("part_from"), (high - F.col("block") * block).alias("part_to"), (low - F.col("start")).alias("word_from"))
 
 
 def taken_pieces(sized: DataFrame, sources: DataFrame, seed: int = 0, block: int = BLOCK) -> DataFrame:
-    """doc_id, source, mark, copy, epoch, shard, word_from, words: what the mix takes."""
+    """doc_id, source, mark, copy, epoch, shard, word_from, words: what the mix takes. Both sides
+    grow with the corpus though Spark takes the exploded slots for small: the hint keeps them
+    from a broadcast, here and below."""
     parts, drawn = laid_out(sized, sources, seed, block), slots(sources, seed, block)
     words = F.least("part_to", "length") - F.col("part_from")
-    return parts.join(drawn, ["rank", "block"]).withColumn("words", words).where("words > 0").select("doc_id", "source", "mark", "copy", "epoch", "shard", "word_from", "words")
+    return parts.join(drawn.hint("merge"), ["rank", "block"]).withColumn("words", words).where("words > 0").select("doc_id", "source", "mark", "copy", "epoch", "shard", "word_from", "words")
 
 
 def prepared(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -140,7 +142,7 @@ def mix(docs: DataFrame, seed: int = 0) -> DataFrame:
     sums = taken_pieces(sized, sources, seed).groupBy(*key).agg(F.sum("words").alias("t"))
     sums = sums.select(*(F.col(c).alias(f"k_{c}") for c in key), "t")
     same = [F.col(c).eqNullSafe(F.col(f"k_{c}")) for c in key]
-    out = sized.join(sums, same[0] & same[1] & same[2] & same[3], "left")
+    out = sized.join(sums.hint("merge"), same[0] & same[1] & same[2] & same[3], "left")
     out = out.join(sources.select(F.col("source").alias("s"), "source_size", "target"), F.col("source").eqNullSafe(F.col("s")))
     return out.select("doc_id", "size", "source_size", "target", F.coalesce("t", F.lit(0)).cast("long").alias("taken"))
 
@@ -157,7 +159,7 @@ def mixed_documents(docs: DataFrame, seed: int = 0) -> DataFrame:
     copy = (F.row_number().over(W.partitionBy("doc_id", "source", "k_mark").orderBy("k_mark")) - 1).alias("k")
     rows = rows.select(F.struct(*docs.columns).alias("d"), F.col("doc_id").alias("i"), F.col("source").alias("s"), F.col("k_mark").alias("m"), copy)
     same = F.col("i").eqNullSafe(F.col("k_doc_id")) & F.col("s").eqNullSafe(F.col("k_source")) & F.col("m").eqNullSafe(F.col("k_mark")) & (F.col("k") == F.col("k_copy"))
-    both = rows.join(spans, same).withColumn("words", F.regexp_extract_all("d.text", F.lit(WORD), F.lit(0)))
+    both = rows.join(spans.hint("merge"), same).withColumn("words", F.regexp_extract_all("d.text", F.lit(WORD), F.lit(0)))
     cut = F.flatten(F.transform("spans", lambda x: F.slice("words", (x["word_from"] + 1).cast("int"), x["words"].cast("int"))))
     text = F.when(F.col("t") == F.size("words"), F.col("d.text")).otherwise(F.array_join(cut, " "))
     both = both.withColumn("new_text", text)
