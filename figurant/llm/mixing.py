@@ -22,7 +22,7 @@ WEIGHTS, SHARE, CAP = (5, 2, 1), 1.5, 2
 #: Slots of an output shard, on average.
 SHARD_SLOTS = 8192
 #: Documents of a run within a source that one task lays out: runs grow in number, not in size.
-RUN_DOCS = 20_000
+RUN_DOCS = 2_000
 ROUNDS = 8
 #: A source's slots are listed by tasks of this many, in two steps.
 FAN = 1024
