@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from figurant.llm import bpe, embeddings, jaccard, langid, licenses, lines, mixing, quality, substrings, warc
+from figurant.llm.oracle import ORACLE_SQL
 from figurant.llm.stages import table
 
 
@@ -24,7 +25,8 @@ def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.judge(table(spark, sf_dir, "documents"))
+    out = quality.judge(table(spark, sf_dir, "documents"))
+    return out.withColumn("char_distance", F.round("char_distance", 4)).withColumn("word_distance", F.round("word_distance", 4))
 
 
 def op3_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,22 +59,4 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {"op1_licenses": op1_licenses, "op2_quality": op2_quality, "op3_lines": op3_lines, "op4_substrings": op4_substrings, "op5_jaccard": op5_jaccard, "op6_embeddings": op6_embeddings, "op7_language": op7_language, "op8_mixing": op8_mixing, "op9_bpe": op9_bpe, "op10_warc": op10_warc}
 
-#: SHA-1 in base32: each hexadecimal digit as four bits, then each five bits as a letter.
-_SQL10 = """
-WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
-d AS (SELECT page_id, CAST(octet_length(encode(body)) AS BIGINT) AS payload_bytes, sha1(body) AS hex,
-             max(page_id) OVER (PARTITION BY body) AS best FROM p),
-b AS (SELECT *, array_to_string(list_transform(range(1, 41), lambda i: substr(
-      '0000000100100011010001010110011110001001101010111100110111101111',
-      4 * (strpos('0123456789abcdef', substr(hex, CAST(i AS INTEGER), 1)) - 1) + 1, 4)), '') AS bits FROM d)
-SELECT page_id, payload_bytes,
-       array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
-         1 + 16 * CAST(substr(bits, CAST(5 * i + 1 AS INTEGER), 1) AS INTEGER) + 8 * CAST(substr(bits, CAST(5 * i + 2 AS INTEGER), 1) AS INTEGER)
-           + 4 * CAST(substr(bits, CAST(5 * i + 3 AS INTEGER), 1) AS INTEGER) + 2 * CAST(substr(bits, CAST(5 * i + 4 AS INTEGER), 1) AS INTEGER)
-           + CAST(substr(bits, CAST(5 * i + 5 AS INTEGER), 1) AS INTEGER), 1)), '') AS payload_digest,
-       CASE WHEN page_id = best THEN 'response' ELSE 'revisit' END AS record_type,
-       CASE WHEN page_id = best THEN NULL ELSE best END AS refers_to
-FROM b
-"""
-
-ORACLE_SQL = {"op10_warc": _SQL10}
+__all__ = ["ORACLE_SQL", "QUERIES"]
