@@ -293,7 +293,7 @@ def _classified(docs: DataFrame, k: int, percent: int) -> DataFrame:
     placed = stars.join(count, "hub").select("hub", F.pmod(F.xxhash64("s"), F.col("parts")).alias("x"), "s")
     every = count.select("hub", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("x"), F.col("hub").alias("s"))
     links = stage(placed.union(every).join(texts, "s").groupBy("hub", "x").applyInPandas(_with_hub(k, percent), "a long, b long"))
-    first = stage(components(links))
+    first = components(links)
 
     # what isn't in its hub's component meets everything at that hub
     members = stars.union(others.select("s", "hub")).distinct()

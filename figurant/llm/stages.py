@@ -111,15 +111,15 @@ def components(edges: DataFrame) -> DataFrame:
     ``component`` is the smallest id reachable from it. Nulls and loops are dropped; repeats
     count once.
 
-    The links are counted first. Up to ``LINKS_OF_ONE_TASK`` of them are a few megabytes, which
-    one task labels. Beyond that, large-star and small-star steps alternate until nothing
+    ``edges`` should be a staged table, as it is read twice: the links are counted first. Up to
+    ``LINKS_OF_ONE_TASK`` of them are a few megabytes, which one task labels. Beyond that, large-star and small-star steps alternate until nothing
     changes: each is one aggregate and one join on the node, so no neighbourhood is ever
     gathered in one place, and a hub's rows can be split between tasks.
     """
-    now = stage(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    if now.count() <= LINKS_OF_ONE_TASK:
-        return stage(arrow_map(now.coalesce(1), _labelled, "id long, component long"))
-    mark = None
+    edges = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    if edges.count() <= LINKS_OF_ONE_TASK:
+        return stage(arrow_map(edges.coalesce(1), _labelled, "id long, component long"))
+    now, mark = stage(edges.distinct()), None
     while True:
         both = now.union(now.select("b", "a"))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
