@@ -34,15 +34,25 @@ class Model(NamedTuple):
     logs: np.ndarray  # languages x BUCKETS
 
 
+_LETTER = np.zeros(256, bool)
+_LETTER[0x80:] = _LETTER[97:123] = True
+_PROSE = _LETTER.copy()
+_PROSE[[*b" \t\n.,'-"]] = True
+
+
+def _lowered(block: Block) -> Block:
+    return Block(block.first, block.last, _LOWER[block.raw], block.offsets, False)
+
+
 def _trigrams(block: Block) -> tuple[np.ndarray, np.ndarray]:
-    """(document, class) of each three bytes of a document that hold a letter (ASCII letters,
-    or bytes of other scripts), lower-cased."""
+    """(document, class) of each three bytes of a document, lower-cased, that are prose and hold
+    a letter (of ASCII, or a byte of another script): numbers, keys and markup say nothing."""
     x = block.data.astype(np.uint64)
     if len(x) < 3:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    letter = (block.data >= 0x80) | ((block.data >= 97) & (block.data <= 122))
+    letter, prose = _LETTER[block.data], _PROSE[block.data]
     n = len(x) - 2
-    some = letter[:n] | letter[1 : n + 1] | letter[2:]
+    some = (letter[:n] | letter[1 : n + 1] | letter[2:]) & prose[:n] & prose[1 : n + 1] & prose[2:]
     doc = np.repeat(np.arange(block.n_docs), np.diff(block.offsets))
     at = np.flatnonzero(some & (doc[:n] == doc[2:]))
     code = x[at] | (x[at + 1] << np.uint64(8)) | (x[at + 2] << np.uint64(16))
@@ -61,8 +71,7 @@ def fit(labelled: DataFrame, docs: int = FIT_DOCS) -> Model:
         for batch in batches:
             langs = batch.column("lang").to_pylist()
             for block in blocks(batch.column("text")):
-                lowered = Block(block.first, block.last, _LOWER[block.raw], block.offsets, False)
-                doc, cls = _trigrams(lowered)
+                doc, cls = _trigrams(_lowered(block))
                 bounds = np.searchsorted(doc, np.arange(block.n_docs + 1))
                 for d in range(block.n_docs):
                     lang = langs[block.first + d].lower()
@@ -88,7 +97,7 @@ def fit(labelled: DataFrame, docs: int = FIT_DOCS) -> Model:
 
 def scored(rows: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """``rows`` with ``scores``: the log-likelihood of the text under each language, and
-    ``best``: the likeliest (null without letters). The text is read whole; its mean
+    ``best``: the likeliest (null where no trigram tells). The text is read whole; its mean
     log-likelihood counts as that of ``EVIDENCE`` trigrams at most."""
     shared = rows.sparkSession.sparkContext.broadcast(model)  # languages x BUCKETS, fixed
     names = rows.columns
@@ -100,15 +109,15 @@ def scored(rows: DataFrame, model: Model, text: str = "text") -> DataFrame:
             scores = np.zeros((batch.num_rows, len(languages)))
             seen = np.zeros(batch.num_rows, bool)
             for block in blocks(batch.column(text)):
-                doc, cls = _trigrams(Block(block.first, block.last, _LOWER[block.raw], block.offsets, False))
+                doc, cls = _trigrams(_lowered(block))
                 n = np.bincount(doc, minlength=block.n_docs)
                 have = np.flatnonzero(n)
                 if len(have):
                     first = np.searchsorted(doc, have)
                     rows_ = block.first + have
+                    seen[rows_] = True
                     for k in range(len(languages)):
                         scores[rows_, k] = np.add.reduceat(table[cls, k], first) * (np.minimum(n[have], EVIDENCE) / n[have])
-                    seen[rows_] = True
             best = pa.array([languages[i] if s else None for i, s in zip(scores.argmax(axis=1), seen, strict=True)], pa.string())
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, scores.size + 1, len(languages), dtype=np.int32)), pa.array(scores.ravel()))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), lists, best], [*names, "scores", "best"])
@@ -174,7 +183,7 @@ def identify(rows: DataFrame, model: Model) -> DataFrame:
     s = s.withColumn("__logs", logs).withColumn("__top", F.array_max("__logs"))
     s = s.withColumn("__sum", F.aggregate("__logs", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("__top"))))
     pick = F.element_at(F.array(*map(F.lit, known)), F.array_position("__logs", F.col("__top")).cast("int"))
-    seen = F.col("best").isNotNull()
+    seen = F.coalesce(F.col("text").rlike(r"[A-Za-z]|[^\x00-\x7F]"), F.lit(False))
     language, posterior = F.when(seen, pick), F.when(seen, 1.0 / F.col("__sum"))
     accepted = F.coalesce(seen & (pick != UND) & (posterior >= LEAST), F.lit(False))
     return s.select(*(F.col(c) for c in rows.columns), language.alias("language"), posterior.alias("posterior"), F.col("best").alias("text_language"), accepted.alias("accepted"))

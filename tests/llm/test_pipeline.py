@@ -1,4 +1,5 @@
 import hashlib
+import re
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -33,7 +34,8 @@ def test_every_stage_against_brute_force(spark, tmp_path_factory):
     kept = {r.doc_id: r for r in language.collect()}
     assert language.columns == docs.columns and all(kept[i] == before[i] for i in kept)
     scores = {r.doc_id: r.best for r in langid.scored(docs.select("doc_id", "text"), langid.fit(docs)).collect()}
-    assert set(before) - set(kept) == {i for i, b in scores.items() if b in (None, "und")} >= {9001, 9002, 9003}
+    letterless = {i for i, r in before.items() if not re.search(r"[A-Za-z]|[^\x00-\x7F]", r.text or "")}
+    assert {9001, 9002, 9003} <= letterless <= set(before) - set(kept) <= letterless | {i for i, b in scores.items() if b == "und"}
 
     marks = {r.doc_id: r.m for r in language.select("doc_id", F.hash("text").alias("m")).collect()}
     want, _ = test_lines.brute([(i, marks[i], r.text) for i, r in kept.items()])
