@@ -165,13 +165,16 @@ def identify(rows: DataFrame, model: Model) -> DataFrame:
     hosts, domains and suffixes are groups of their own, except that a null suffix is no
     evidence. A row is accepted if a known language has a posterior of ``LEAST`` or more and
     the text has a letter; null, empty and letterless texts aren't (language null). Repeated
-    rows are judged alike. The text is scored twice, which is cheaper than to store the
-    scores; both tables of evidence are joined by broadcast only where Spark finds them small.
+    rows are judged alike; columns of the names that are added are replaced. The text is scored
+    twice, which is cheaper than to store the scores; both tables of evidence are joined by
+    broadcast only where Spark finds them small.
     """
     known = model.languages
+    given, made = ("text", "declared", "host", "domain", "suffix"), ("language", "posterior", "text_language", "accepted")
+    others = [c for c in rows.columns if c not in given + made]
     slim = rows.select("text", "host", "domain", "suffix")
     priors, suffixes = evidence(scored(slim, model).select("host", "domain", "suffix", "best"), model)
-    s = scored(rows, model)
+    s = scored(rows.select(F.struct(F.lit(0).alias("_"), *(F.col(f"`{c}`") for c in others)).alias("__row"), *given), model)
     s = s.join(priors, F.col("host").eqNullSafe(F.col("h")) & F.col("domain").eqNullSafe(F.col("hd")), "left").join(suffixes, F.col("suffix") == F.col("x"), "left")
     flat = F.array(*[F.lit(1.0)] * len(known))
     claim = F.lower(F.regexp_extract(F.coalesce("declared", F.lit("")), "^[A-Za-z]+", 0))
@@ -186,7 +189,8 @@ def identify(rows: DataFrame, model: Model) -> DataFrame:
     seen = F.coalesce(F.col("text").rlike(r"[A-Za-z]|[^\x00-\x7F]"), F.lit(False))
     language, posterior = F.when(seen, pick), F.when(seen, 1.0 / F.col("__sum"))
     accepted = F.coalesce(seen & (pick != UND) & (posterior >= LEAST), F.lit(False))
-    return s.select(*(F.col(c) for c in rows.columns), language.alias("language"), posterior.alias("posterior"), F.col("best").alias("text_language"), accepted.alias("accepted"))
+    kept = (F.col(c) if c in given else F.col(f"__row.`{c}`").alias(c) for c in rows.columns if c not in made)
+    return s.select(*kept, language.alias("language"), posterior.alias("posterior"), F.col("best").alias("text_language"), accepted.alias("accepted"))
 
 
 def page_evidence(pages: DataFrame) -> DataFrame:

@@ -30,7 +30,7 @@ def test_model_and_scores(spark, model):
 
 
 def frame(spark, rows):
-    return spark.createDataFrame(rows, "id long, text string, declared string, host string, domain string, suffix string, language0 string")
+    return spark.createDataFrame(rows, "id long, text string, declared string, host string, domain string, suffix string, prior string").withColumns({"language": F.lit("?"), "best": F.lit(1), "h": F.lit(2), "x": F.lit(3), "scores": F.lit(4)})
 
 
 def test_fusion(spark, model):
@@ -39,7 +39,7 @@ def test_fusion(spark, model):
     rows += [(200, "mit", "de", "a.x.de", "x.de", "de", ""), (201, None, "de", "a.x.de", "x.de", "de", ""), (202, "", None, None, None, None, ""), (203, "12 %% 34 !!", "en", None, None, None, "")]
     rows += [(204, "жзх щъы эюя фцч " * 20, None, "b.y.com", "y.com", "com", ""), (205, text(r, "fr", 3000), "en", "b.y.com", "y.com", "com", ""), (206, text(r, "en", 20), "en-GB", None, None, None, "")]
     out = {x.id: x for x in langid.identify(frame(spark, rows), model).collect()}
-    assert len(out) == len(rows)
+    assert len(out) == len(rows) and out[206].best == 1 and out[206].scores == 4 and out[0].prior == "z"
     assert all(out[i].language == "de" and out[i].accepted for i in range(30)) and all(out[100 + i].language == "en" for i in range(30))
     assert out[200].language == "de" and out[206].language == "en" and out[205].language == "fr"
     assert [(out[i].language, out[i].accepted) for i in (201, 202, 203)] == [(None, False)] * 3
