@@ -70,38 +70,39 @@ def block_masks(count: int, radius: int = RADIUS) -> list[int]:
 
 
 def within(a: np.ndarray, b: np.ndarray, most: int) -> bool:
-    """Whether the edit distance of two sequences is at most ``most``: the farthest points
-    that each number of edits reaches on each diagonal."""
+    """Whether the edit distance of two sequences is at most ``most``. Equal ends are cut off;
+    then the columns of the distance table follow as bit vectors (whole integers) of its
+    vertical steps, a few operations for each element."""
     n, m = len(a), len(b)
     if abs(n - m) > most:
         return False
-
-    def run(i: int, j: int) -> int:
-        room, step, k = min(n - i, m - j), 16, 0
-        while k < room:
-            stop = min(k + step, room)
-            differ = a[i + k : i + stop] != b[j + k : j + stop]
-            first = int(differ.argmax())
-            if differ[first]:
-                return k + first
-            k, step = stop, step * 4
-        return room
-
-    goal, reach = m - n, {0: run(0, 0)}  # diagonal j - i: how far i got
-    for edits in range(most + 1):
-        if reach.get(goal, -1) >= n:
-            return True
-        new = {}
-        for d in range(-edits - 1, edits + 2):
-            if abs(d - goal) > most - edits - 1:
-                continue
-            i = max(reach.get(d, -2) + 1, reach.get(d - 1, -2), reach.get(d + 1, -2) + 1)
-            if i >= 0:
-                i = min(i, n, m - d)
-                if i >= 0 and i + d >= 0:
-                    new[d] = i + run(i, i + d)
-        reach = {d: max(new.get(d, -1), reach.get(d, -1)) for d in new.keys() | reach.keys()}
-    return False
+    short = min(n, m)
+    same = a[:short] == b[:short]
+    front = short if same.all() else int(same.argmin())
+    a, b = a[front:], b[front:]
+    short = min(len(a), len(b))
+    same = a[len(a) - short :][::-1] == b[len(b) - short :][::-1]
+    back = short if same.all() else int(same.argmin())
+    a, b = a[: len(a) - back].tolist(), b[: len(b) - back].tolist()
+    if not a or not b:
+        return max(len(a), len(b)) <= most
+    at: dict[int, int] = {}
+    for i, x in enumerate(a):
+        at[x] = at.get(x, 0) | 1 << i
+    full, last = (1 << len(a)) - 1, 1 << (len(a) - 1)
+    up, down, score, left = full, 0, len(a), len(b)
+    for x in b:
+        equal = at.get(x, 0)
+        diagonal = equal | down
+        level = (((equal & up) + up) ^ up) | equal
+        rise, fall = down | ~(level | up) & full, up & level
+        score += bool(rise & last) - bool(fall & last)
+        left -= 1
+        if score - left > most:
+            return False
+        rise, fall = (rise << 1 | 1) & full, fall << 1 & full
+        up, down = (fall | ~(diagonal | rise)) & full, rise & diagonal
+    return score <= most
 
 
 def alike(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
