@@ -164,12 +164,21 @@ def removals(docs: DataFrame, span: int = SPAN, k: int = NODE) -> DataFrame:
                     doc = block.doc_of(at)
                     row = pa.array(doc)
                     h, g = block.spans(at, at + span), block.spans(at, at + span, _OTHER)
-                    yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array((g & np.uint64(0x7FFFFFFF)).astype(np.int32)), part.column("doc_id").take(row), part.column("mark").take(row), pa.array((at - block.words_of[doc]).astype(np.int32))], ["h", "g", *_KEY, "start"])
-
-    windows = arrow_map(flagged.where("flags is not null"), branches, "h long, g int, doc_id long, mark int, start int")
+                    g = (g & np.uint64(0x7FFFFFFF)).astype(np.int32)
+                    order = np.lexsort((g, h))
+                    new = np.append(True, (np.diff(h[order]) != 0) | (np.diff(g[order]) != 0))
+                    first, sure = np.zeros(len(at), bool), np.zeros(len(at), bool)
+                    first[order[new]] = True
+                    sure[order] = (np.bincount(np.cumsum(new) - 1) > 1)[np.cumsum(new) - 1]
+                    yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(g), part.column("doc_id").take(row), part.column("mark").take(row), pa.array((at - block.words_of[doc]).astype(np.int32)), pa.array(first), pa.array(sure)], ["h", "g", *_KEY, "start", "first", "sure"])
+
+    # a window that occurs twice in a block of documents is repeated, and only one of its rows
+    # there has to tell the others: a very common window doesn't crowd one task
+    windows = arrow_map(flagged.where("flags is not null"), branches, "h long, g int, doc_id long, mark int, start int, first boolean, sure boolean")
     windows = stage(windows)
-    repeated = windows.groupBy("h", "g").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    starts = windows.join(repeated, ["h", "g"]).groupBy(*_KEY).agg(F.collect_set("start").alias("starts"))
+    repeated = windows.where("first").groupBy("h", "g").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    alone = windows.where("not sure").join(repeated, ["h", "g"]).select(*_KEY, "start")
+    starts = windows.where("sure").select(*_KEY, "start").union(alone).groupBy(*_KEY).agg(F.collect_set("start").alias("starts"))
     return flagged.alias("q").join(starts.alias("s"), same("q", "s"), "left").select("q.*", "s.starts")
 
 
