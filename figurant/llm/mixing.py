@@ -85,7 +85,8 @@ def slots(sources: DataFrame, seed: int, block: int = BLOCK) -> DataFrame:
     s = s.withColumn("x", F.explode(low(F.col("n"), FAN * FAN)))
     left = F.least(F.col("n") - F.col("x") * FAN * FAN, F.lit(FAN * FAN))
     s = s.withColumn("y", F.explode(low(left, FAN))).withColumn("first", (F.col("x") * FAN + F.col("y")) * FAN)
-    s = s.repartition("rank", "first")
+    # a number of its own: the rows are few before they are exploded, and would be put together
+    s = s.repartition(int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions")), "rank", "first")
     s = s.withColumn("slot", F.explode(F.sequence("first", F.least(F.col("n"), F.col("first") + FAN) - 1)))
     s = s.withColumn("epoch", F.floor(F.col("slot") / F.col("per"))).withColumn("j", F.col("slot") - F.col("epoch") * F.col("per"))
     index = F.when(F.col("j") < F.col("full"), permuted(F.col("j"), F.col("full"), F.lit(seed), F.col("rank"), F.col("epoch"))).otherwise(F.col("full"))
