@@ -22,6 +22,8 @@ from figurant.llm.stages import arrow_map, components, least_labels, stage
 COSINE = 0.9
 #: Bits of a code, Hamming radius of candidates, and vectors that the rotation is learnt on.
 BITS, RADIUS, SAMPLE, ROUNDS = 64, 20, 10_000, 40
+#: Chance of a pair at the least cosine to meet in no table.
+MISSED = 0.002
 #: Vectors of a block of a large bucket; blocks are compared two at a time.
 BLOCK = 1024
 
@@ -51,10 +53,24 @@ def encode(x: np.ndarray, mean: np.ndarray, projection: np.ndarray) -> np.ndarra
     return (signs.astype(np.uint64) << np.arange(bits - 1, -1, -1, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
 
 
-def layout(count: int, bits: int) -> list[tuple[int, int]]:
-    """(shift, width) of each table's substring: about log2 of the number of vectors wide, so
-    buckets stay small as the collection grows."""
-    tables = max(1, bits // max(8, math.ceil(math.log2(max(2, count)))))
+def fewest(bits: int, cosine: float = COSINE, missed: float = MISSED) -> int:
+    """Fewest tables for codes of ``bits`` bits in which a pair at ``cosine`` is lost with a
+    chance of ``missed`` at most: a bit differs with the chance angle / pi, and a lost pair
+    differs in three bits or more of every table."""
+    p = math.acos(cosine) / math.pi
+    for t in range(1, bits + 1):
+        w = -(-bits // t)
+        met = sum(math.comb(w, k) * p**k * (1 - p) ** (w - k) for k in range(min(w, 2) + 1))
+        if (1 - met) ** t <= missed:
+            return t
+    return bits
+
+
+def layout(count: int, bits: int, cosine: float = COSINE) -> list[tuple[int, int]]:
+    """(shift, width) of each table's substring. However many vectors there are, the tables
+    are never fewer than ``fewest``, so pairs aren't lost as the collection grows (large
+    buckets are compared block by block); small collections have more tables."""
+    tables = max(fewest(bits, cosine), bits // max(8, math.ceil(math.log2(max(2, count)))))
     cuts = [round(i * bits / tables) for i in range(tables + 1)]
     return [(a, b - a) for a, b in zip(cuts, cuts[1:], strict=False)]
 
@@ -223,7 +239,7 @@ def linked(rows: DataFrame, cosine: float = COSINE, radius: int = RADIUS) -> Dat
     classes = stage(good.groupBy("s").agg(F.first("v").alias("v"), F.count("*").alias("size"), F.min("vec_id").alias("rep")))
     sample = np.array([r["v"] for r in classes.select("s", "v").orderBy("s").limit(SAMPLE).collect()])
     mean, projection = learn(sample)
-    tables = layout(classes.count(), projection.shape[1])
+    tables = layout(classes.count(), projection.shape[1], cosine)
 
     def code(batches):
         for batch in batches:

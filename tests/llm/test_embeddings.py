@@ -75,3 +75,24 @@ def test_empty_and_unfit_tables(spark):
     assert embeddings.linked(spark.createDataFrame([], schema)).count() == 0
     assert embeddings.linked(spark.createDataFrame([(1, None), (None, [0.0])], schema)).collect()[0].n_links == 0
     assert embeddings.linked(spark.createDataFrame([(1, [1.0])], schema)).collect()[0].component_id == 1
+
+
+def planted(x, cosine, seed):
+    """A partner for each unit vector at exactly ``cosine``."""
+    d = np.random.default_rng(seed).normal(size=x.shape)
+    d -= (d * x).sum(axis=1, keepdims=True) * x
+    return cosine * x + math.sqrt(1 - cosine**2) * d / np.linalg.norm(d, axis=1, keepdims=True)
+
+
+@pytest.mark.parametrize("bits", [16, 32, 64])
+@pytest.mark.parametrize("count", [100, 2000, 47_000, 70_000, 3_000_000, 2**33])
+def test_recall_does_not_fall_with_the_count(bits, count):
+    r = np.random.default_rng(bits)
+    x = r.normal(size=(4000, bits)) * np.linspace(1, 2, bits) + r.normal(size=bits)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    mean, projection = embeddings.learn(x)
+    tables = embeddings.layout(count, bits)
+    for cosine in (0.9, 0.91, 0.92):
+        a, b = (embeddings.encode(v, mean, projection) for v in (x, planted(x, cosine, count % 97)))
+        met = embeddings.meeting(a, b, tables)[0] >= 0
+        assert (met & (np.bitwise_count(a ^ b) <= embeddings.RADIUS)).mean() >= 0.98, cosine
