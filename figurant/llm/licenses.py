@@ -90,8 +90,10 @@ def normalise(sentence: str) -> str:
 
 def known_sentences() -> dict[str, str]:
     """Normalised sentence to identifier: the texts above, and notices from the grammar
-    subject, verb, "under", name."""
+    subject, verb, "under", name. A sentence with a stop within it ("v. 2.0") is also known by
+    what comes before that stop; ``tails`` has what must follow."""
     out = {normalise(s): i for i, s in SENTENCES.items()}
+    out |= {normalise(s[: m.start()]): i for i, s in SENTENCES.items() if (m := re.search(_STOP, s))}
     for name, spelled in NAMES.items():
         for n in (normalise(x) for x in spelled):
             for verb in VERBS:
@@ -103,6 +105,16 @@ def known_sentences() -> dict[str, str]:
     return out
 
 
+def tails() -> dict[str, re.Pattern]:
+    """What must follow the first part of a known sentence, by that part."""
+    out = {}
+    for s in SENTENCES.values():
+        if m := re.search(_STOP, s):
+            words = normalise(s[m.end() :]).split(" ")
+            out[normalise(s[: m.start()])] = re.compile(r"[\W_]*" + r"[\W_]+".join(map(re.escape, words)) + r"\b(?!\.\d)", re.IGNORECASE)
+    return out
+
+
 def spans(text: str, cut: re.Pattern) -> Iterator[tuple[int, int]]:
     at = 0
     for m in cut.finditer(text):
@@ -113,7 +125,7 @@ def spans(text: str, cut: re.Pattern) -> Iterator[tuple[int, int]]:
 
 class Scanner:
     def __init__(self):
-        self.known = known_sentences()
+        self.known, self.tails = known_sentences(), tails()
         self.longest = max(map(len, self.known))
         self.rules: dict[str, list[tuple[str, tuple[str, ...]]]] = {}
         for name, ids in RULES:
@@ -132,7 +144,13 @@ class Scanner:
                 # white space and marks may take room, but never three times the letters
                 if b - a > 3 * self.longest or a == b:
                     continue
-                i = self.known.get(normalise(text[a:b]))
+                sentence = normalise(text[a:b])
+                i = self.known.get(sentence)
+                if i and sentence in self.tails:
+                    m = self.tails[sentence].match(text, b)
+                    if not m:
+                        continue
+                    b = m.end()
                 if i and found.get(a, (0, ""))[0] < b:
                     found[a] = (b, i)
         return [(a, b, i) for a, (b, i) in sorted(found.items())]

@@ -92,3 +92,25 @@ def test_frames(spark):
     got = sorted(((str(r.doc_id), r.sentences, r.licences, len(r.matches)) for r in out.collect()))
     assert got == [("1", "", "", 0), ("2", "", "", 0), ("3", "notice-MIT", "MIT", 1), ("3", "notice-MIT", "MIT", 1), ("None", "notice-CC-BY-4.0", "CC-BY-4.0", 1)]
     assert L.scan(docs.limit(0)).count() == 0
+
+
+def test_each_sentence_and_each_rule_is_recognised(spark):
+    notice = "Released under the {}."
+    full = {**L.SENTENCES, **{f"notice-{n}": notice.format(x[0]) for n, x in L.NAMES.items()}, **{f"spdx-{n}": f"SPDX-License-Identifier: {n}" for n in L.NAMES}}
+    cases = [((i,), full[i], None) for i in full]
+    for name, rule in L.RULES:
+        first = next(n for n, r in L.RULES if r == rule)
+        cases += [(rule, gap.join(wrapped(full[i], width, lead) for i in rule), first) for gap, width, lead in (("\n", 10_000, ""), ("\n\n", 60, "// "))]
+    docs = spark.createDataFrame([(k, text) for k, (_, text, _) in enumerate(cases)], "doc_id long, text string")
+    got = {r.doc_id: r for r in L.scan(docs).collect()}
+    for k, (ids, text, name) in enumerate(cases):
+        assert got[k].sentences.split() == list(ids), text
+        assert name is None or got[k].licences == name, text
+
+
+def test_header_with_a_stop_in_its_version():
+    header = "/* This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0. If a copy of the MPL was not distributed with this\n * file, You can obtain one at https://mozilla.org/MPL/2.0/. */\ncode\n"
+    ((name, a, b),) = L.Scanner().scan(header)
+    assert name == "MPL-2.0" and header[a:b].startswith("This Source") and header[a:b].endswith("v. 2.0")
+    assert names(header.replace("v. 2.0", "v. 3.0")) == names(header.replace("v. 2.0", "v. 2.01")) == []
+    assert names(header.replace(", v. 2.0. If", ", v.\n * 2.0. If")) == ["MPL-2.0"]
