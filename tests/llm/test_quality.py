@@ -82,3 +82,21 @@ def test_against_brute_force(spark, seed):
 
 def test_empty_table(spark):
     assert quality.judge(spark.createDataFrame([], "doc_id long, text string, lang string")).count() == 0
+
+
+def test_words_alone_reject_texts_without_common_words(spark):
+    r = random.Random(7)
+    invented = lambda: "".join(r.choice("aeioustnrlm") for _ in range(r.randrange(2, 9)))
+    prose = lambda common: " ".join(r.choice(quality.COMMON["en"]) if r.random() < common else invented() for _ in range(200)) + "."
+    rows = [(i, prose(r.uniform(0.15, 0.25)), "en") for i in range(60)] + [(100 + i, prose(0), "en") for i in range(3)]
+    out = {x.doc_id: x for x in quality.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert all(out[i].kept for i in range(60))
+    for i in range(100, 103):
+        assert not out[i].base_failed and out[i].char_distance <= quality.MAX_CHAR_DISTANCE and not out[i].kept
+
+
+def test_no_text_that_is_labelled_good_is_rejected_for_its_words(spark):
+    read = lambda name: spark.read.parquet(f"/root/testdata/sf0.01/{name}.parquet")
+    labelled = quality.judge(read("documents")).join(read("labels").where("quality = 1").select("doc_id").distinct(), "doc_id")
+    got = [x for x in labelled.collect() if not x.base_failed]
+    assert len(got) > 300 and all((x.word_distance or 0) <= quality.MAX_WORD_DISTANCE for x in got)
