@@ -46,14 +46,18 @@ def isolated(numbered: DataFrame, edge_rows: DataFrame) -> DataFrame:
     return numbered.join(ends, ["fig_id", "node_id"], "left_anti")
 
 
-def paths(spark: SparkSession, edge_view: str, source: int, limit: int = 20) -> DataFrame:
-    """All simple paths from ``source`` in the view (src, dst): node, path."""
+def paths(spark: SparkSession, edge_view: str, source: int, limit: int | None = None) -> DataFrame:
+    """All simple paths from ``source`` in the view (src, dst): node, path. With ``limit`` only
+    those of at most so many nodes. Where Spark's own bounds on recursion
+    (``spark.sql.cteRecursionLevelLimit`` and ``RowLimit``) don't suffice, the query fails;
+    no path is left out in silence."""
+    bound = "" if limit is None else f" AND size(w.path) < {int(limit)}"
     return spark.sql(f"""
         WITH RECURSIVE walk(node, path) AS (
           SELECT CAST({int(source)} AS INT), array(CAST({int(source)} AS INT))
           UNION ALL
           SELECT e.dst, concat(w.path, array(e.dst)) FROM walk w JOIN {edge_view} e ON e.src = w.node
-          WHERE NOT array_contains(w.path, e.dst) AND size(w.path) < {int(limit)})
+          WHERE NOT array_contains(w.path, e.dst){bound})
         SELECT node, path FROM walk""")
 
 

@@ -147,3 +147,23 @@ def test_completed_diagrams(spark):
     c = spark.createDataFrame([(1, 5, 45, 58, 70, 90), (1, 6, 515, 515, 540, 530), (1, 7, 900, 900, 910, 910)], PANEL)
     got = sorted((r.panel_id, r.t, r.l, r.b, r.r) for r in extraction.completed(p, c, F.col("share")).collect())
     assert got == [(1, 45, 58, 70, 90), (2, 515, 515, 540, 530)]
+
+
+def test_no_simple_path_is_left_out(spark):
+    n = spark.read.parquet("/root/testdata/sf0.001/nation.parquet").selectExpr("int(n_nationkey) k", "int(n_regionkey) r")
+    n.selectExpr("r src", "k + 5 dst").union(n.selectExpr("k + 5", "k % 3")).distinct().createOrReplaceTempView("path_edges")
+    after = {}
+    for a, b in spark.table("path_edges").collect():
+        after.setdefault(a, []).append(b)
+
+    def walk(path):
+        yield tuple(path)
+        for x in after.get(path[-1], ()):
+            if x not in path:
+                yield from walk([*path, x])
+
+    want = sorted(walk([1]))
+    assert sorted(tuple(r.path) for r in graph.paths(spark, "path_edges", 1).collect()) == want
+    assert len(want) == 54 and sum(len(p) > 5 for p in want) == 25
+    spark.range(30).selectExpr("int(id) src", "int(id + 1) dst").createOrReplaceTempView("path_line")
+    assert graph.paths(spark, "path_line", 0).count() == 31
