@@ -20,6 +20,9 @@ from figurant.llm.words import BLOCK_BYTES, Block, blocks, mix
 
 #: Hamming radius, least edit similarity in percent, words under which only equal lines match.
 RADIUS, PERCENT, MIN_WORDS = 3, 80, 5
+#: Word pairs of a line that are keys too; lines of LONG words or more that meet in one are
+#: compared only if their SimHashes differ in at most SCREEN bits.
+KEYS, LONG, SCREEN = 6, 30, 24
 
 _KEY = ["doc_id", "mark"]
 
@@ -57,6 +60,28 @@ def simhash(hashes: np.ndarray, weight: np.ndarray, at: np.ndarray) -> np.ndarra
     return np.packbits(out, axis=1).view(np.uint64).ravel()
 
 
+def pair_keys(hashes: np.ndarray, lengths: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """(line, ``KEYS``) 32-bit keys of the longest pairs of neighbouring words, ties by hash;
+    long pairs are rare. 0 where a line has fewer, or fewer than ``MIN_WORDS`` words."""
+    n = np.diff(np.append(at, len(hashes)))
+    out = np.zeros((len(at), KEYS), np.uint32)
+    long = np.flatnonzero(n >= MIN_WORDS)
+    if not len(long):
+        return out
+    line = np.repeat(np.arange(len(at)), n)
+    inner = np.flatnonzero((line[:-1] == line[1:]) & (n[line[:-1]] >= MIN_WORDS))
+    pair = mix(hashes[inner] * np.uint64(3) + hashes[inner + 1]) >> np.uint64(32)
+    size = 127 - np.minimum(lengths[inner] + lengths[inner + 1], 127)
+    # the line (25 bits), the size (7 bits) and the hash (32 bits) in one number to sort by
+    order = np.searchsorted(long, line[inner]).astype(np.uint64) << np.uint64(39) | size.astype(np.uint64) << np.uint64(32) | pair
+    order = np.unique(order)
+    own = (order >> np.uint64(39)).astype(np.int64)
+    rank = np.arange(len(own)) - np.searchsorted(own, own)
+    use = rank < KEYS
+    out[long[own[use]], rank[use]] = np.maximum(order[use] & np.uint64(0xFFFFFFFF), np.uint64(1))
+    return out
+
+
 def block_masks(count: int, radius: int = RADIUS) -> list[int]:
     """Masks of the join keys: all choices of b - radius of b blocks of the hash. b grows with
     the number of lines, so a key is about as wide as the collection has bits; which pairs are
@@ -111,8 +136,9 @@ def alike(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
     return within(a, b, longest * (100 - percent) // 100)
 
 
-def listed(docs: DataFrame) -> DataFrame:
-    """line (hash), sim, n (words), doc_id, mark, number: a row for each line with a word."""
+def listed(docs: DataFrame, whole: bool = False) -> DataFrame:
+    """line (hash), sim, n (words), doc_id, mark, number, keys (binary; null unless ``whole``):
+    a row for each line with a word."""
 
     def run(batches):
         for batch in batches:
@@ -124,9 +150,14 @@ def listed(docs: DataFrame) -> DataFrame:
                 n = (ends - at).astype(np.int32)
                 h = mix(block.spans(at, ends) + n.astype(np.uint64))
                 row = pa.array(doc + block.first)
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(simhash(block.hashes, weights(block.ends - block.starts), at).view(np.int64)), pa.array(n), batch.column("doc_id").take(row), batch.column("mark").take(row), pa.array(number.astype(np.int32))], ["line", "sim", "n", *_KEY, "number"])
+                lengths = block.ends - block.starts
+                keys = pa.nulls(len(at), pa.binary())
+                if whole:
+                    raw = pair_keys(block.hashes, lengths, at)
+                    keys = pa.Array.from_buffers(pa.binary(4 * KEYS), len(at), [None, pa.py_buffer(raw.tobytes())]).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(simhash(block.hashes, weights(lengths), at).view(np.int64)), pa.array(n), batch.column("doc_id").take(row), batch.column("mark").take(row), pa.array(number.astype(np.int32)), keys], ["line", "sim", "n", *_KEY, "number", "keys"])
 
-    return arrow_map(docs, run, "line long, sim long, n int, doc_id long, mark int, number int")
+    return arrow_map(docs, run, "line long, sim long, n int, doc_id long, mark int, number int, keys binary")
 
 
 def _packed(docs: DataFrame) -> DataFrame:
@@ -145,13 +176,15 @@ def _unpacked(batch: pa.RecordBatch, codec: pa.Codec):
 
 
 def _met(codes: np.ndarray, n: np.ndarray, i: np.ndarray, j: np.ndarray, masks: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of index pairs those within the radius, of fitting lengths, in the first of the tables
-    in which they meet."""
+    """Of index pairs those of fitting lengths within the radius, in the first of the tables in
+    which they meet; in table -1, that of the word pairs, those within the screen."""
     x = codes[i] ^ codes[j]
-    use = (np.bitwise_count(x) <= RADIUS) & (100 * np.minimum(n[i], n[j]) >= PERCENT * np.maximum(n[i], n[j]))
+    apart, most = np.bitwise_count(x), np.maximum(n[i], n[j])
+    near = np.where(own[i] < 0, (apart <= SCREEN) | (most < LONG), apart <= RADIUS)
+    use = near & (100 * np.minimum(n[i], n[j]) >= PERCENT * most)
     i, j, x = i[use], j[use], x[use]
     first = ((x[:, None] & masks[None, :]) == 0).argmax(axis=1)
-    use = first == own[i]
+    use = (own[i] < 0) | (first == own[i])
     return i[use], j[use]
 
 
@@ -167,6 +200,12 @@ def candidates(lines: DataFrame, masks: list[int]) -> DataFrame:
             for t, mask in enumerate(keys):
                 bucket = mix((sim & mask) + np.uint64(t) * np.uint64(0x9E3779B97F4A7C15))
                 yield pa.RecordBatch.from_arrays([pa.array(bucket.view(np.int64)), batch.column("line"), batch.column("sim"), batch.column("n"), pa.array(np.full(len(sim), t, np.int32))], ["bucket", "s", "sim", "n", "table"])
+            pairs = batch.column("keys").drop_null()
+            if len(pairs):
+                own = np.frombuffer(b"".join(pairs.to_pylist()), np.uint32).reshape(-1, KEYS)
+                row, at = np.nonzero(own)
+                rows = batch.filter(batch.column("keys").is_valid()).take(pa.array(row))
+                yield pa.RecordBatch.from_arrays([pa.array(own[row, at].astype(np.int64)), rows.column("line"), rows.column("sim"), rows.column("n"), pa.array(np.full(len(row), -1, np.int32))], ["bucket", "s", "sim", "n", "table"])
 
     def meet(batches):
         for t, group in whole_groups(batches, ["bucket", "x", "y"]):
@@ -178,7 +217,7 @@ def candidates(lines: DataFrame, masks: list[int]) -> DataFrame:
             yield from t.select(names).filter(pa.array(has)).to_batches()
 
     names = ["bucket", "x", "y", "side", "s", "sim", "n", "table"]
-    entered = arrow_map(lines.where(F.col("n") >= MIN_WORDS).select("line", "sim", "n"), enter, kinds)
+    entered = arrow_map(lines.where(F.col("n") >= MIN_WORDS).select("line", "sim", "n", "keys"), enter, kinds)
     return arrow_map(_sorted(_blocked(entered)), meet, "bucket long, x long, y long, side long, s long, sim long, n int, table int")
 
 
@@ -230,11 +269,12 @@ def contents(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return arrow_map(rows, run, "s long, words binary")
 
 
-def removed(docs: DataFrame) -> DataFrame:
+def removed(docs: DataFrame, whole: bool = False) -> DataFrame:
     """doc_id, mark, gone (array<int>): the numbers of the lines to remove."""
-    lines = stage(listed(docs))
+    every = stage(listed(docs, whole))
+    lines = every.drop("keys")
     first = F.min(F.struct("doc_id", "mark", "number"))
-    classes = stage(lines.groupBy("line").agg(F.count("*").alias("c"), first.alias("first"), F.first("sim").alias("sim"), F.first("n").alias("n")))
+    classes = stage(every.groupBy("line").agg(F.count("*").alias("c"), first.alias("first"), F.first("sim").alias("sim"), F.first("n").alias("n"), F.first("keys").alias("keys")))
     masks = block_masks(classes.count())
     found = stage(candidates(classes, masks))
     wanted = classes.join(found.select(F.col("s").alias("line")).distinct(), "line", "left_semi").select("line", "first.*")
@@ -247,19 +287,20 @@ def removed(docs: DataFrame) -> DataFrame:
     return out.groupBy(*_KEY).agg(F.collect_set("number").alias("gone"))
 
 
-def dedup(docs: DataFrame) -> DataFrame:
+def dedup(docs: DataFrame, whole: bool = False) -> DataFrame:
     """doc_id, n_lines (with a word), n_removed, kept_text: a row per row of ``docs``.
 
     Of each connected group of alike lines the first occurrence by (doc_id, a hash of the
     text, line number) is kept and the others are removed, within documents and across them.
     Lines are alike if they are equal after normalisation, or have ``MIN_WORDS`` words or more,
     SimHashes within ``RADIUS`` bits and an edit similarity over words of ``PERCENT`` or more.
-    Lines without words stay. Null texts count as empty. Rows equal in doc_id and text are one
+    With ``whole`` the similarity alone decides for all lines that share one of their
+    ``KEYS`` longest word pairs too (README gives the recall). Lines without words stay. Null texts count as empty. Rows equal in doc_id and text are one
     document and are treated alike; a null doc_id comes first. An empty table gives no rows;
     further columns are ignored.
     """
     docs = docs.select("doc_id", "text", F.hash("text").alias("mark"))
-    gone = removed(docs)
+    gone = removed(docs, whole)
     same = F.col("p.doc_id").eqNullSafe(F.col("g.doc_id")) & (F.col("p.mark") == F.col("g.mark"))
     rows = _packed(docs).alias("p").join(gone.alias("g"), same, "left").select("p.*", "g.gone")
 
@@ -281,11 +322,11 @@ def dedup(docs: DataFrame) -> DataFrame:
     return arrow_map(rows, run, "doc_id long, mark int, n_lines long, n_removed long, kept_text string").drop("mark")
 
 
-def cleaned(docs: DataFrame) -> DataFrame:
+def cleaned(docs: DataFrame, whole: bool = False) -> DataFrame:
     """``docs`` with their lines deduplicated: all columns, text replaced and n_chars (where
     it exists) set to the new text's length. Documents that lose all lines stay, empty."""
     marked = docs.withColumn("__mark", F.hash("text"))
-    gone = removed(docs.select("doc_id", "text", F.hash("text").alias("mark"))).select(F.col("doc_id").alias("__doc"), F.col("mark").alias("__m"), "gone")
+    gone = removed(docs.select("doc_id", "text", F.hash("text").alias("mark")), whole).select(F.col("doc_id").alias("__doc"), F.col("mark").alias("__m"), "gone")
     joined = marked.join(gone, F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("__mark") == F.col("__m")), "left")
     kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("gone", i)), "\n")
     text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(kept)

@@ -30,7 +30,7 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = lines.dedup(table(spark, sf_dir, "documents"))
+    out = lines.dedup(table(spark, sf_dir, "documents"), whole=True)
     return out.select("doc_id", "n_lines", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 

@@ -127,3 +127,20 @@ def test_against_brute_force(spark, monkeypatch, seed):
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert lines.dedup(docs).count() == 0 and lines.cleaned(docs).count() == 0
+
+
+@pytest.mark.parametrize("low, high, share", [(5, 12, 0.2), (13, 20, 0.1), (21, 35, 0.2), (36, 60, 0.1), (36, 90, 0.2), (61, 200, 0.05)])
+def test_recall_against_edit_similarity_alone(spark, low, high, share):
+    r = random.Random(low)
+    word = lambda: "".join(r.choice("aeioustnrlm") for _ in range(r.randrange(1, 10)))
+    rows = []
+    for k in range(150):
+        a = [word() for _ in range(r.randrange(low, high + 1))]
+        b = list(a)
+        for i in r.sample(range(len(b)), max(1, int(len(b) * share))):
+            b[i] = word()
+        assert 100 * (len(a) - distance(a, b)) >= 80 * len(a)
+        rows += [(2 * k, " ".join(a)), (2 * k + 1, " ".join(b))]
+    out = {x.doc_id: x.n_removed for x in lines.dedup(spark.createDataFrame(rows, "doc_id long, text string"), whole=True).collect()}
+    assert all(out[2 * k] == 0 for k in range(150))  # unlike lines stay
+    assert sum(out[2 * k + 1] for k in range(150)) >= 0.9 * 150
