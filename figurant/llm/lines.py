@@ -1,30 +1,39 @@
 """Fuzzy line deduplication: SimHash, pigeonhole blocks, edit similarity, connected groups.
 
-Lines are lower-cased (A-Z) and their white space is made even. Equal lines are one class.
-Classes whose 64-bit SimHashes differ in at most ``RADIUS`` bits agree on one of a few blocks
-of the hash, which are the join keys; their words are then compared by edit distance.
+Lines are lower-cased (A-Z) and their white space is made even. Equal lines are one class. A
+class has two SimHashes. One, of 64 bits over its words, is compared whole. The other has
+``KEYS`` blocks, which are the join keys: a block is the SimHash of the line's pairs of
+neighbouring words under weights so steep that each pair outweighs all lighter ones together
+(the sum then has the signs of the heaviest pair, so no sum is needed), without the pairs that
+touch an earlier block's. Edits change a block only if they touch its pair or bring a heavier
+one, so alike lines nearly always agree on a block (README has the recall; the pigeonhole blocks
+of a SimHash with even weights lose half of them and more). The words of classes that meet
+in a block are then compared by edit distance.
 """
 
 from __future__ import annotations
 
-from itertools import combinations
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from figurant.llm.embeddings import _blocked, _pairs, _sorted, whole_groups
-from figurant.llm.stages import arrow_map, components, stage
-from figurant.llm.words import BLOCK_BYTES, Block, blocks, mix
+from figurant.llm.stages import arrow_map, components, discard, identified, stage
+from figurant.llm.words import Block, blocks, mix, pack, unpacked
 
-#: Hamming radius, least edit similarity in percent, words under which only equal lines match.
-RADIUS, PERCENT, MIN_WORDS = 3, 80, 5
-#: Word pairs of a line that are keys too; lines of LONG words or more that meet in one are
-#: compared only if their SimHashes differ in at most SCREEN bits.
-KEYS, LONG, SCREEN = 6, 30, 24
+#: Least edit similarity in percent. Lines of under MIN_WORDS words can't be that alike to
+#: another: one edit in four words or fewer leaves 75 percent at most.
+PERCENT, MIN_WORDS = 80, 4
+#: Blocks of a line. Lines of LONG words or more that meet are compared only if their 64-bit
+#: SimHashes differ in at most RADIUS bits; in lines of APART words or more no two blocks' pairs
+#: share a word.
+KEYS, LONG, RADIUS, APART = 4, 20, 28, 8
 
-_KEY = ["doc_id", "mark"]
+_KEY = ["d", "mark"]
+_KEYS = [f"k{t}" for t in range(KEYS)]
+_FOLDS = [f"f{t}" for t in range(KEYS // 2)]
+_NONE = np.uint64(2**64 - 1)
 
 
 def word_lines(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -42,56 +51,60 @@ def word_lines(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def weights(lengths: np.ndarray) -> np.ndarray:
     """Weight of a word by its length in bytes: short words are common, and would make the
     SimHashes of all lines of a language alike."""
-    return np.square(np.clip(lengths, 3, 16) - 2).astype(np.int32)
+    return np.square(np.clip(lengths, 3, 16) - 2).astype(np.int64)
+
+
+#: The lowest bit of each of four 16-bit lanes.
+_LANES = np.uint64(0x0001000100010001)
 
 
 def simhash(hashes: np.ndarray, weight: np.ndarray, at: np.ndarray) -> np.ndarray:
     """SimHash of each run of weighted word hashes that starts at ``at``: bit by bit what the
-    words of more than half the weight have."""
-    if not len(at):
-        return np.zeros(0, np.uint64)
-    bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1)
+    words of more than half the weight have. Four bits at a time are summed in the lanes of a
+    running total, whose differences are exact while a line's weight fits a lane."""
     ends = np.append(at[1:], len(hashes))
-    out = np.empty((len(at), 64), bool)
-    for k, (i, j) in enumerate(zip(at.tolist(), ends.tolist(), strict=True)):
-        kind = np.float32 if j - i < 1 << 16 else np.float64  # exact for so much weight
-        w = weight[i:j].astype(kind)
-        out[k] = 2 * (w @ bits[i:j].astype(kind)) > w.sum()
-    return np.packbits(out, axis=1).view(np.uint64).ravel()
-
-
-def pair_keys(hashes: np.ndarray, lengths: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """(line, ``KEYS``) 32-bit keys of the longest pairs of neighbouring words, ties by hash;
-    long pairs are rare. 0 where a line has fewer, or fewer than ``MIN_WORDS`` words."""
-    n = np.diff(np.append(at, len(hashes)))
-    out = np.zeros((len(at), KEYS), np.uint32)
-    long = np.flatnonzero(n >= MIN_WORDS)
-    if not len(long):
+    sums = np.append(0, np.cumsum(weight))
+    total = sums[ends] - sums[at]
+    out, w, run = np.empty((len(at), 64), bool), weight.astype(np.uint64), np.zeros(len(hashes) + 1, np.uint64)
+    for k in range(16):
+        np.cumsum((hashes >> np.uint64(k) & _LANES) * w, out=run[1:])
+        lanes = run[ends] - run[at]
+        for lane in range(4):
+            out[:, 16 * lane + k] = 2 * (lanes >> np.uint64(16 * lane) & np.uint64(0xFFFF)).astype(np.int64) > total
+    for i in np.flatnonzero(total > 0xFFFF).tolist():
+        part = slice(at[i], ends[i])
+        bits = np.unpackbits(hashes[part].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        out[i] = 2 * (weight[part] @ bits.astype(np.int64)) > total[i]
+    return np.packbits(out, axis=1, bitorder="little").view(np.uint64).ravel()
+
+
+def pair_blocks(hashes: np.ndarray, lengths: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """(line, ``KEYS``) blocks of each line, least value first: 64 bits that tell the heaviest
+    pair of neighbouring words. Pairs of long words, which are rare, are heavier, ties by hash.
+    The last value stands for none: a line has fewer blocks if it has few pairs, and none at
+    all under ``MIN_WORDS`` words."""
+    out = np.full((len(at), KEYS), _NONE)
+    if not len(hashes):
         return out
+    n = np.diff(np.append(at, len(hashes)))
     line = np.repeat(np.arange(len(at)), n)
     inner = np.flatnonzero((line[:-1] == line[1:]) & (n[line[:-1]] >= MIN_WORDS))
-    pair = mix(hashes[inner] * np.uint64(3) + hashes[inner + 1]) >> np.uint64(32)
-    size = 127 - np.minimum(lengths[inner] + lengths[inner + 1], 127)
-    # the line (25 bits), the size (7 bits) and the hash (32 bits) in one number to sort by
-    order = np.searchsorted(long, line[inner]).astype(np.uint64) << np.uint64(39) | size.astype(np.uint64) << np.uint64(32) | pair
-    order = np.unique(order)
-    own = (order >> np.uint64(39)).astype(np.int64)
-    rank = np.arange(len(own)) - np.searchsorted(own, own)
-    use = rank < KEYS
-    out[long[own[use]], rank[use]] = np.maximum(order[use] & np.uint64(0xFFFFFFFF), np.uint64(1))
+    light = (127 - np.minimum(lengths[inner] + lengths[inner + 1], 127)).astype(np.uint64)
+    value = np.full(len(hashes) + 1, _NONE)
+    value[inner] = light << np.uint64(57) | mix(hashes[inner] * np.uint64(3) + hashes[inner + 1]) >> np.uint64(7)
+    for t in range(KEYS):
+        out[:, t] = np.minimum.reduceat(value[:-1], at)
+        hit = np.flatnonzero((value[:-1] == np.repeat(out[:, t], n)) & (value[:-1] != _NONE))
+        value[hit] = _NONE
+        hit = hit[n[line[hit]] >= APART]
+        value[hit + 1] = _NONE  # the last pair of a line begins at its last word but one
+        value[hit[hit > at[line[hit]]] - 1] = _NONE
     return out
 
 
-def block_masks(count: int, radius: int = RADIUS) -> list[int]:
-    """Masks of the join keys: all choices of b - radius of b blocks of the hash. b grows with
-    the number of lines, so a key is about as wide as the collection has bits; which pairs are
-    found doesn't depend on it."""
-    b = radius + 1
-    while b < radius + 4 and (b - radius) * 64 / b < np.log2(max(2, count)) - 6:
-        b += 1
-    cuts = [round(i * 64 / b) for i in range(b + 1)]
-    part = [(1 << y) - (1 << x) for x, y in zip(cuts, cuts[1:], strict=False)]
-    return [sum(part[i] for i in c) for c in combinations(range(b), b - radius)]
+def folds(keys: np.ndarray) -> np.ndarray:
+    """32 bits of each block, never 0; 0 for none."""
+    return np.where(keys == _NONE, np.uint64(0), (mix(keys) >> np.uint64(32)) | np.uint64(1)).astype(np.uint32)
 
 
 def within(a: np.ndarray, b: np.ndarray, most: int) -> bool:
@@ -136,9 +149,17 @@ def alike(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
     return within(a, b, longest * (100 - percent) // 100)
 
 
-def listed(docs: DataFrame, whole: bool = False) -> DataFrame:
-    """line (hash), sim, n (words), doc_id, mark, number, keys (binary; null unless ``whole``):
-    a row for each line with a word."""
+def _packed(docs: DataFrame) -> DataFrame:
+    def run(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", *_KEY)), *pack(batch.column("text"))], ["doc_id", *_KEY, "packed", "n_bytes"])
+
+    return arrow_map(docs.select("doc_id", *_KEY, "text"), run, "doc_id long, d long, mark long, packed binary, n_bytes long")
+
+
+def listed(docs: DataFrame) -> DataFrame:
+    """line (hash), sim, n (words), d, mark, number, the blocks k0 .. and their folds, two to a
+    long: a row for each line with a word."""
 
     def run(batches):
         for batch in batches:
@@ -149,92 +170,78 @@ def listed(docs: DataFrame, whole: bool = False) -> DataFrame:
                 ends = np.append(at[1:], len(block.starts))
                 n = (ends - at).astype(np.int32)
                 h = mix(block.spans(at, ends) + n.astype(np.uint64))
-                row = pa.array(doc + block.first)
                 lengths = block.ends - block.starts
-                keys = pa.nulls(len(at), pa.binary())
-                if whole:
-                    raw = pair_keys(block.hashes, lengths, at)
-                    keys = pa.Array.from_buffers(pa.binary(4 * KEYS), len(at), [None, pa.py_buffer(raw.tobytes())]).cast(pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(simhash(block.hashes, weights(lengths), at).view(np.int64)), pa.array(n), batch.column("doc_id").take(row), batch.column("mark").take(row), pa.array(number.astype(np.int32)), keys], ["line", "sim", "n", *_KEY, "number", "keys"])
-
-    return arrow_map(docs, run, "line long, sim long, n int, doc_id long, mark int, number int, keys binary")
-
+                keys = pair_blocks(block.hashes, lengths, at)
+                sims, fold = simhash(block.hashes, weights(lengths), at), np.ascontiguousarray(folds(keys)).view(np.int64)
+                row = pa.array(doc + block.first)
+                columns = [pa.array(h.view(np.int64)), pa.array(sims.view(np.int64)), pa.array(n), batch.column("d").take(row), batch.column("mark").take(row), pa.array(number.astype(np.int32))]
+                columns += [pa.array(keys[:, t].view(np.int64), mask=keys[:, t] == _NONE) for t in range(KEYS)]
+                columns += [pa.array(np.ascontiguousarray(fold[:, t])) for t in range(KEYS // 2)]
+                yield pa.RecordBatch.from_arrays(columns, ["line", "sim", "n", *_KEY, "number", *_KEYS, *_FOLDS])
+
+    longs = ", ".join(f"{c} long" for c in (*_KEYS, *_FOLDS))
+    return arrow_map(docs.select(*_KEY, "text"), run, f"line long, sim long, n int, d long, mark long, number int, {longs}")
+
+
+class _Group:
+    """Rows of buckets, and the pairs of them that are to be compared."""
+
+    def __init__(self, t: pa.Table, group: np.ndarray):
+        self.group, self.same, self.side = group, t.column("x").to_numpy() == t.column("y").to_numpy(), t.column("side").to_numpy()
+        self.sim, self.n = t.column("sim").to_numpy().view(np.uint64), t.column("n").to_numpy()
+        self.folds = np.column_stack([t.column(c).to_numpy() for c in _FOLDS]).view(np.uint32)
+        self.own = folds(t.column("bucket").to_numpy().view(np.uint64))
+
+    def pairs(self):
+        """Index pairs of fitting lengths and SimHashes, each in one bucket: that of the least
+        fold among the blocks that both lines have."""
+        for i, j in _pairs(self.group, self.same, self.side):
+            most = np.maximum(self.n[i], self.n[j])
+            use = 100 * np.minimum(self.n[i], self.n[j]) >= PERCENT * most
+            use &= (np.bitwise_count(self.sim[i] ^ self.sim[j]) <= RADIUS) | (most < LONG)
+            i, j = i[use], j[use]
+            if not len(i):
+                continue
+            a, b = self.folds[i], self.folds[j]
+            least = np.full(len(i), 2**32 - 1, np.uint32)
+            for x in range(KEYS):
+                for y in range(KEYS):
+                    least = np.where((a[:, x] == b[:, y]) & (a[:, x] > 0), np.minimum(least, a[:, x]), least)
+            use = least == self.own[i]
+            yield i[use], j[use]
+
+
+_MET = ["bucket", "x", "y", "side", "s", "sim", "n", *_FOLDS]
+
+
+def candidates(lines: DataFrame) -> DataFrame:
+    """bucket, x, y, side, s (the line), sim, n, folds: lines of a bucket that have a candidate
+    there."""
 
-def _packed(docs: DataFrame) -> DataFrame:
     def run(batches):
-        codec = pa.Codec("zstd", 3)
-        for batch in batches:
-            raw = [t.as_buffer() if t.is_valid else pa.py_buffer(b"") for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("mark"), pa.array([codec.compress(r, asbytes=True) if r.size else b"" for r in raw], pa.binary()), pa.array([r.size for r in raw], pa.int64())], [*_KEY, "packed", "n_bytes"])
-
-    return arrow_map(docs, run, "doc_id long, mark int, packed binary, n_bytes long")
-
-
-def _unpacked(batch: pa.RecordBatch, codec: pa.Codec):
-    for k, (z, size) in enumerate(zip(batch.column("packed"), batch.column("n_bytes").to_pylist(), strict=True)):
-        yield k, codec.decompress(z.as_buffer(), size).to_pybytes() if size else b""
-
-
-def _met(codes: np.ndarray, n: np.ndarray, i: np.ndarray, j: np.ndarray, masks: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of index pairs those of fitting lengths within the radius, in the first of the tables in
-    which they meet; in table -1, that of the word pairs, those within the screen."""
-    x = codes[i] ^ codes[j]
-    apart, most = np.bitwise_count(x), np.maximum(n[i], n[j])
-    near = np.where(own[i] < 0, (apart <= SCREEN) | (most < LONG), apart <= RADIUS)
-    use = near & (100 * np.minimum(n[i], n[j]) >= PERCENT * most)
-    i, j, x = i[use], j[use], x[use]
-    first = ((x[:, None] & masks[None, :]) == 0).argmax(axis=1)
-    use = (own[i] < 0) | (first == own[i])
-    return i[use], j[use]
-
-
-def candidates(lines: DataFrame, masks: list[int]) -> DataFrame:
-    """bucket, x, y, side, s (the line), sim, n, table: lines of a bucket that have a candidate
-    there; each pair meets in one bucket."""
-    keys = np.array(masks, np.uint64)
-    kinds = "bucket long, s long, sim long, n int, table int"
-
-    def enter(batches):
-        for batch in batches:
-            sim = batch.column("sim").to_numpy().view(np.uint64)
-            for t, mask in enumerate(keys):
-                bucket = mix((sim & mask) + np.uint64(t) * np.uint64(0x9E3779B97F4A7C15))
-                yield pa.RecordBatch.from_arrays([pa.array(bucket.view(np.int64)), batch.column("line"), batch.column("sim"), batch.column("n"), pa.array(np.full(len(sim), t, np.int32))], ["bucket", "s", "sim", "n", "table"])
-            pairs = batch.column("keys").drop_null()
-            if len(pairs):
-                own = np.frombuffer(b"".join(pairs.to_pylist()), np.uint32).reshape(-1, KEYS)
-                row, at = np.nonzero(own)
-                rows = batch.filter(batch.column("keys").is_valid()).take(pa.array(row))
-                yield pa.RecordBatch.from_arrays([pa.array(own[row, at].astype(np.int64)), rows.column("line"), rows.column("sim"), rows.column("n"), pa.array(np.full(len(row), -1, np.int32))], ["bucket", "s", "sim", "n", "table"])
-
-    def meet(batches):
         for t, group in whole_groups(batches, ["bucket", "x", "y"]):
-            sim, n, table = t.column("sim").to_numpy().view(np.uint64), t.column("n").to_numpy(), t.column("table").to_numpy()
             has = np.zeros(len(group), bool)
-            for i, j in _pairs(group, t.column("x").to_numpy() == t.column("y").to_numpy(), t.column("side").to_numpy()):
-                i, j = _met(sim, n, i, j, keys, table)
+            for i, j in _Group(t, group).pairs():
                 has[i] = has[j] = True
-            yield from t.select(names).filter(pa.array(has)).to_batches()
+            yield from t.select(_MET).filter(pa.array(has)).to_batches()
 
-    names = ["bucket", "x", "y", "side", "s", "sim", "n", "table"]
-    entered = arrow_map(lines.where(F.col("n") >= MIN_WORDS).select("line", "sim", "n", "keys"), enter, kinds)
-    return arrow_map(_sorted(_blocked(entered)), meet, "bucket long, x long, y long, side long, s long, sim long, n int, table int")
+    entered = lines.where("k0 is not null").select(F.col("line").alias("s"), "sim", "n", *_FOLDS, F.explode(F.array(*_KEYS)).alias("bucket")).where("bucket is not null")
+    kinds = {"side": "long", "n": "int"}
+    return arrow_map(_sorted(_blocked(entered)).select(*_MET), run, ", ".join(f"{c} {kinds.get(c, 'long')}" for c in _MET))
 
 
-def verified(found: DataFrame, contents: DataFrame, masks: list[int]) -> DataFrame:
+def verified(found: DataFrame, contents: DataFrame) -> DataFrame:
     """a, b: links that join components within each bucket, by edit similarity."""
-    keys = np.array(masks, np.uint64)
 
     def run(batches):
         for t, group in whole_groups(batches, ["bucket", "x", "y"]):
-            sim, n, table = t.column("sim").to_numpy().view(np.uint64), t.column("n").to_numpy(), t.column("table").to_numpy()
             s = t.column("s").to_numpy()
             words = [np.frombuffer(w, np.uint64) for w in t.column("words").to_pylist()]
-            top = list(range(len(s)))
-            left, right = [], []
-            for i, j in _pairs(group, t.column("x").to_numpy() == t.column("y").to_numpy(), t.column("side").to_numpy()):
-                i, j = _met(sim, n, i, j, keys, table)
-                for p, q in zip(i.tolist(), j.tolist(), strict=True):
+            label, top, left, right = np.arange(len(s)), list(range(len(s))), [], []
+            for i, j in _Group(t, group).pairs():
+                apart = label[i] != label[j]
+                before = len(left)
+                for p, q in zip(i[apart].tolist(), j[apart].tolist(), strict=True):
                     a, b = p, q
                     while top[a] != a:
                         top[a] = a = top[top[a]]
@@ -244,92 +251,100 @@ def verified(found: DataFrame, contents: DataFrame, masks: list[int]) -> DataFra
                         top[a] = b
                         left.append(p)
                         right.append(q)
+                if len(left) > before:
+                    label = np.array(top)
+                    while (label[label] != label).any():
+                        label = label[label]
             yield pa.RecordBatch.from_arrays([pa.array(s[left]), pa.array(s[right])], ["a", "b"])
 
     return arrow_map(_sorted(found.join(contents, "s")), run, "a long, b long")
 
 
 def contents(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """s, words (hashes, as bytes) of the lines ``wanted`` (line, doc_id, mark, number)."""
-    same = F.col("p.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("p.mark") == F.col("w.mark"))
+    """s, words (hashes, as bytes) of the lines ``wanted`` (line, d, mark, number)."""
     lists = wanted.groupBy(*_KEY).agg(F.sort_array(F.collect_list(F.struct("number", "line"))).alias("asked"))
-    rows = _packed(docs).dropDuplicates(_KEY).alias("p").join(lists.alias("w"), same).select("packed", "n_bytes", F.col("asked.number").alias("number"), F.col("asked.line").alias("line"))
+    rows = _packed(docs).join(lists, _KEY).select(*_KEY, "packed", "n_bytes", F.col("asked.number").alias("number"), F.col("asked.line").alias("line"))
 
     def run(batches):
-        codec = pa.Codec("zstd")
         for batch in batches:
-            numbers, lines = batch.column("number").to_pylist(), batch.column("line").to_pylist()
-            for k, text in _unpacked(batch, codec):
-                (block,) = blocks(pa.array([text], pa.large_binary()), lower=True)
-                _, number, at = word_lines(block)
-                where = np.searchsorted(number, numbers[k])
+            for block, part in unpacked(batch, lower=True):
+                asked, lines = part.column("number"), part.column("line").flatten()
+                doc, number, at = word_lines(block)
                 ends = np.append(at[1:], len(block.starts))
-                yield pa.RecordBatch.from_arrays([pa.array(lines[k], pa.int64()), pa.array([block.hashes[at[w] : ends[w]].tobytes() for w in where], pa.binary())], ["s", "words"])
-
-    return arrow_map(rows, run, "s long, words binary")
-
-
-def removed(docs: DataFrame, whole: bool = False) -> DataFrame:
-    """doc_id, mark, gone (array<int>): the numbers of the lines to remove."""
-    every = stage(listed(docs, whole))
-    lines = every.drop("keys")
-    first = F.min(F.struct("doc_id", "mark", "number"))
-    classes = stage(every.groupBy("line").agg(F.count("*").alias("c"), first.alias("first"), F.first("sim").alias("sim"), F.first("n").alias("n"), F.first("keys").alias("keys")))
-    masks = block_masks(classes.count())
-    found = stage(candidates(classes, masks))
-    wanted = classes.join(found.select(F.col("s").alias("line")).distinct(), "line", "left_semi").select("line", "first.*")
-    links = stage(verified(found, contents(docs, wanted), masks))
+                code = np.repeat(np.arange(len(part)), asked.value_lengths().to_numpy()) << 32 | asked.flatten().to_numpy()
+                where = np.searchsorted(doc << 32 | number, code)
+                first, n = at[where], ends[where] - at[where]
+                bounds = np.append(0, np.cumsum(n))
+                every = np.repeat(first - bounds[:-1], n) + np.arange(bounds[-1])
+                words = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer((8 * bounds).astype(np.int32)), pa.py_buffer(block.hashes[every])])
+                yield pa.RecordBatch.from_arrays([lines, words], ["s", "words"])
+
+    return arrow_map(rows.dropDuplicates(_KEY), run, "s long, words binary")
+
+
+def removed(docs: DataFrame) -> DataFrame:
+    """d, mark, gone (array<int>): the numbers of the lines to remove, as a table."""
+    every = stage(listed(docs))
+    firsts = [F.first(c).alias(c) for c in ("sim", "n", *_KEYS, *_FOLDS)]
+    classes = stage(every.groupBy("line").agg(F.count("*").alias("c"), *firsts))
+    found = stage(candidates(classes))
+    place = F.min(F.struct(*_KEY, "number"))
+    asked = every.select("line", *_KEY, "number").join(found.select(F.col("s").alias("line")).distinct(), "line", "left_semi")
+    wanted = asked.groupBy("line").agg(place.alias("first")).select("line", "first.*")
+    links = stage(verified(found, contents(docs, wanted)))
+    discard(found)
     groups = components(links).withColumnRenamed("id", "line")
-    grouped = classes.join(groups, "line", "left").where("c > 1 or component is not null").select("line", F.coalesce("component", "line").alias("component"), "first")
-    keep = grouped.groupBy("component").agg(F.min("first").alias("keep"))
-    judged = grouped.join(keep, "component").select("line", "keep")
-    out = lines.join(judged, "line").where(~F.struct("doc_id", "mark", "number").eqNullSafe(F.col("keep")))
-    return out.groupBy(*_KEY).agg(F.collect_set("number").alias("gone"))
+    judged = classes.select("line", "c").join(groups, "line", "left").where("c > 1 or component is not null").select("line", F.coalesce("component", "line").alias("component"))
+    places = stage(every.select("line", *_KEY, "number").join(judged, "line").drop("line"))
+    discard(every, classes, links, groups)
+    keep = places.groupBy("component").agg(place.alias("keep"))
+    out = places.join(keep, "component").where(F.struct(*_KEY, "number") != F.col("keep"))
+    out = stage(out.groupBy(*_KEY).agg(F.collect_set("number").alias("gone")))
+    discard(places)
+    return out
 
 
-def dedup(docs: DataFrame, whole: bool = False) -> DataFrame:
+def dedup(docs: DataFrame) -> DataFrame:
     """doc_id, n_lines (with a word), n_removed, kept_text: a row per row of ``docs``.
 
     Of each connected group of alike lines the first occurrence by (doc_id, a hash of the
     text, line number) is kept and the others are removed, within documents and across them.
-    Lines are alike if they are equal after normalisation, or have ``MIN_WORDS`` words or more,
-    SimHashes within ``RADIUS`` bits and an edit similarity over words of ``PERCENT`` or more.
-    With ``whole`` the similarity alone decides for all lines that share one of their
-    ``KEYS`` longest word pairs too (README gives the recall). Lines without words stay. Null texts count as empty. Rows equal in doc_id and text are one
-    document and are treated alike; a null doc_id comes first. An empty table gives no rows;
-    further columns are ignored.
+    Lines are alike if they are equal after normalisation, or have an edit similarity over words
+    of ``PERCENT`` or more and meet in a block (of ``LONG`` words or more: with SimHashes within
+    ``RADIUS`` bits). What is found doesn't depend on the number of lines. Lines without words
+    stay. Null texts count as empty. Rows equal in doc_id and text are one document and are
+    treated alike; a null doc_id comes first. An empty table gives no rows; further columns are
+    ignored.
     """
-    docs = docs.select("doc_id", "text", F.hash("text").alias("mark"))
-    gone = removed(docs, whole)
-    same = F.col("p.doc_id").eqNullSafe(F.col("g.doc_id")) & (F.col("p.mark") == F.col("g.mark"))
-    rows = _packed(docs).alias("p").join(gone.alias("g"), same, "left").select("p.*", "g.gone")
+    docs = identified(docs.select("doc_id", "text"))
+    rows = _packed(docs).join(removed(docs), _KEY, "left").select("doc_id", "packed", "n_bytes", "gone")
 
     def run(batches):
-        codec = pa.Codec("zstd")
         for batch in batches:
-            drop = batch.column("gone").to_pylist()
-            counts, texts = [], []
-            for k, text in _unpacked(batch, codec):
-                parts = text.split(b"\n")
-                counts.append(sum(not x.isspace() and x != b"" for x in parts))
-                if drop[k]:
-                    out = set(drop[k])
-                    text = b"\n".join([x for i, x in enumerate(parts) if i not in out])
-                texts.append(text.decode())
-            n = [len(x or ()) for x in drop]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("mark"), pa.array(counts, pa.int64()), pa.array(n, pa.int64()), pa.array(texts, pa.string())], [*_KEY, "n_lines", "n_removed", "kept_text"])
-
-    return arrow_map(rows, run, "doc_id long, mark int, n_lines long, n_removed long, kept_text string").drop("mark")
-
-
-def cleaned(docs: DataFrame, whole: bool = False) -> DataFrame:
+            for block, part in unpacked(batch):
+                drop = part.column("gone").to_pylist()
+                counts, texts = [], []
+                for k in range(block.n_docs):
+                    parts = block.text(k).split(b"\n")
+                    counts.append(sum(not x.isspace() and x != b"" for x in parts))
+                    out = set(drop[k] or ())
+                    texts.append(b"\n".join([x for i, x in enumerate(parts) if i not in out]).decode())
+                n = [len(x or ()) for x in drop]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(counts, pa.int64()), pa.array(n, pa.int64()), pa.array(texts, pa.string())], ["doc_id", "n_lines", "n_removed", "kept_text"])
+
+    return arrow_map(rows, run, "doc_id long, n_lines long, n_removed long, kept_text string")
+
+
+def cleaned(docs: DataFrame) -> DataFrame:
     """``docs`` with their lines deduplicated: all columns, text replaced and n_chars (where
-    it exists) set to the new text's length. Documents that lose all lines stay, empty."""
-    marked = docs.withColumn("__mark", F.hash("text"))
-    gone = removed(docs.select("doc_id", "text", F.hash("text").alias("mark")), whole).select(F.col("doc_id").alias("__doc"), F.col("mark").alias("__m"), "gone")
-    joined = marked.join(gone, F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("__mark") == F.col("__m")), "left")
-    kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("gone", i)), "\n")
-    text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(kept)
-    joined = joined.withColumn("__text", text)
-    new = {"text": F.col("__text"), "n_chars": F.coalesce(F.length("__text"), F.lit(0)).cast("long")}
-    return joined.select(*(new[c].alias(c) if c in new else F.col(f"`{c}`") for c in docs.columns))
+    it exists) set to the new text's length. Documents that lose every line with a word are
+    copies and go; those that had none stay. Columns may have any names."""
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), "doc_id", "text")
+    gone = removed(identified(docs.select("doc_id", "text")))
+    joined = identified(rows).drop("doc_id", "text").join(gone, _KEY, "left")
+    lines = F.filter(F.split("row.text", "\n"), lambda x, i: ~F.array_contains("gone", i))
+    joined = joined.withColumn("left", F.when(F.col("gone").isNotNull(), F.array_join(lines, "\n")))
+    joined = joined.where("left is null or left rlike '[^\\\\x20\\\\x09-\\\\x0D]'")
+    text = F.when(F.col("left").isNull(), F.col("row.text")).otherwise(F.col("left"))
+    new = {"text": text, "n_chars": F.coalesce(F.length(text), F.lit(0)).cast("long")}
+    return joined.select(*((new[c] if c in new else F.col(f"row.`{c}`")).alias(c) for c in docs.columns))

@@ -33,13 +33,41 @@ def scratch_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+#: Shuffle files of a query that is over go at once, not when the driver collects its garbage.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back. This cuts the lineage, and a lost
-    executor costs no more than the tasks that were running on it."""
+    executor costs no more than the tasks that were running on it. The shuffle files behind
+    ``df`` are deleted when it is written, the table itself by ``discard``."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/stage-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``stage`` returned, after their last reader has been written. Other
+    DataFrames are left alone."""
+    for df in tables:
+        if path := df.__dict__.pop("staged_at", None):
+            spark = df.sparkSession
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def identified(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``d`` and ``mark``, which are never null and tell documents apart: the
+    doc_id (null: the least long) and a 64-bit hash of the text and of whether the id is null."""
+    return rows.withColumn("d", F.coalesce("doc_id", F.lit(-(2**63)))).withColumn("mark", F.xxhash64("text", F.col("doc_id").isNull()))
 
 
 #: Bytes of the batches that go to Python: texts may be long, so rows alone don't bound them.

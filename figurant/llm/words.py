@@ -126,3 +126,27 @@ def blocks(texts: pa.Array, lower: bool = False, limit: int = BLOCK_BYTES) -> It
         last = min(last, n)
         yield Block(first, last, data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first], lower)
         first = last
+
+
+def pack(texts: pa.Array) -> tuple[pa.Array, pa.Array]:
+    """Compressed texts and their sizes in bytes; null texts are empty."""
+    codec = pa.Codec("zstd", 3)
+    raw = [t.as_buffer() for t in texts]
+    sizes = [r.size if r else 0 for r in raw]
+    return pa.array([codec.compress(r, asbytes=True) if n else b"" for r, n in zip(raw, sizes, strict=True)], pa.binary()), pa.array(sizes, pa.int64())
+
+
+def unpacked(batch: pa.RecordBatch, lower: bool = False) -> Iterator[tuple[Block, pa.RecordBatch]]:
+    """Blocks over the rows of a batch whose texts are packed (columns packed, n_bytes), and
+    those rows: about ``BLOCK_BYTES`` of text, one row at least."""
+    codec, i, n = pa.Codec("zstd"), 0, batch.num_rows
+    sizes, column = batch.column("n_bytes").to_pylist(), batch.column("packed")
+    while i < n:
+        j, held = i, 0
+        while j < n and (j == i or held + sizes[j] <= BLOCK_BYTES):
+            held += sizes[j]
+            j += 1
+        texts = pa.array([codec.decompress(column[k].as_buffer(), sizes[k]).to_pybytes() if sizes[k] else b"" for k in range(i, j)], pa.large_binary())
+        (block,) = blocks(texts, lower=lower, limit=1 << 62)
+        yield block, batch.slice(i, j - i)
+        i = j
