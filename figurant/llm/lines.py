@@ -237,6 +237,7 @@ def verified(found: DataFrame, contents: DataFrame) -> DataFrame:
         for t, group in whole_groups(batches, ["bucket", "x", "y"]):
             s = t.column("s").to_numpy()
             words = [np.frombuffer(w, np.uint64) for w in t.column("words").to_pylist()]
+            sets: dict[int, frozenset] = {}
             label, top, left, right = np.arange(len(s)), list(range(len(s))), [], []
             for i, j in _Group(t, group).pairs():
                 apart = label[i] != label[j]
@@ -247,7 +248,14 @@ def verified(found: DataFrame, contents: DataFrame) -> DataFrame:
                         top[a] = a = top[top[a]]
                     while top[b] != b:
                         top[b] = b = top[top[b]]
-                    if a != b and alike(words[p], words[q]):
+                    if a == b:
+                        continue
+                    if p not in sets:
+                        sets[p] = frozenset(words[p].tolist())
+                    # each word of the one that the other lacks is an edit
+                    longest = max(len(words[p]), len(words[q]))
+                    common = sum(map(sets[p].__contains__, words[q].tolist()))
+                    if 100 * common >= PERCENT * longest and alike(words[p], words[q]):
                         top[a] = b
                         left.append(p)
                         right.append(q)

@@ -1,39 +1,40 @@
 """Removal of long repeated word spans through a compacted De Bruijn graph.
 
-The graph is sparse. Its nodes are the runs of ``k`` words that are least by hash in some
-window of ``span`` words; equal windows choose the same node at the same place. Its edges are
-the runs of words from one node of a document to the next (or to the document's ends). One
-aggregate over the nodes tells how often each occurs and whether all its occurrences continue
-alike on both sides; a join takes that back to the documents. Where occurrences continue
-alike, the path doesn't branch: everything on it repeats, as far as the path goes, and no
-window of it is looked at again. Windows at branches are compared one by one, by their place
-in the source and a hash of all their words.
+The edges of the graph are the windows of ``span`` words. A window's node is that of its runs of
+``k`` words that is least by hash; equal windows choose the same node at the same place. Windows
+of a document that follow each other and have the same node make a path, one run of words, which
+is kept as one edge with a hash in place of a row for each window. One aggregate counts equal
+paths, another their nodes, and joins take the counts back to the places: on a path that occurs
+twice or more, which then doesn't branch there, all windows are repeated, and none of them is
+looked at again. Only windows on a path that occurs once and whose node occurs again are still
+open (near edits, and where passages end): those are verified one by one, with those of one
+place of each repeated path through the same node, by 128 bits of hash over all their words,
+read at their coordinates in the source.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from figurant.llm.stages import arrow_map, stage
-from figurant.llm.words import BLOCK_BYTES, Block, blocks, mix
+from figurant.llm.stages import arrow_map, discard, identified, stage
+from figurant.llm.words import Block, blocks, mix, pack, unpacked
 
 #: Words of a window, and of a node.
 SPAN, NODE = 35, 12
 
-_START, _END, _OTHER = 0x51ED270B, 0x2545F491, 0x6C62272E
-_KEY = ["doc_id", "mark"]
+_OTHER = 0x6C62272E
+_KEY = ["d", "mark"]
 
 
 class Paths:
-    """The windows and nodes of a block of documents. ``windows`` are the word indexes where
-    windows start, ``node_of`` the index (into ``nodes``) of each window's own node, ``nodes``
-    the word indexes of the nodes, ``doc``/``ordinal`` each node's document and number."""
+    """The windows, nodes and paths of a block of documents. ``windows`` are the word indexes
+    where windows start, ``nodes`` those of the nodes, ``node_of`` the index (into ``nodes``) of
+    each window's node, ``doc`` and ``ordinal`` each node's document and number."""
 
     def __init__(self, block: Block, span: int, k: int):
         self.block, self.span, self.k = block, span, k
@@ -47,8 +48,9 @@ class Paths:
             return
         self.hash = np.zeros(n, np.uint64)
         self.hash[: n - k + 1] = block.spans(at[: n - k + 1], at[: n - k + 1] + k)
-        chosen = self._least(span - k + 1)[self.windows]
-        self.nodes, self.node_of = np.unique(chosen, return_inverse=True)
+        chosen = self._least(span - k + 1)[self.windows]  # never falls
+        new = np.append(True, chosen[1:] != chosen[:-1])
+        self.nodes, self.node_of = chosen[new], np.cumsum(new) - 1
         self.doc = np.searchsorted(bounds, self.nodes, "right") - 1
         self.first = np.searchsorted(self.doc, np.arange(block.n_docs + 1))
         self.ordinal = np.arange(len(self.nodes)) - self.first[self.doc]
@@ -65,121 +67,106 @@ class Paths:
             have += step
         return where
 
-    def contexts(self) -> np.ndarray:
-        """A hash of the edges on both sides of each node."""
-        b, at, k = self.block, self.nodes, self.k
-        first, last = self.ordinal == 0, np.append(self.ordinal[1:] == 0, True)
-        low = np.where(first, b.words_of[self.doc], np.append(0, at[:-1]))
-        high = np.where(last, b.words_of[self.doc + 1], np.append(at[1:], 0) + k)
-        into = b.spans(low, at + k) ^ np.where(first, np.uint64(_START), np.uint64(0))
-        out = b.spans(at, high) ^ np.where(last, np.uint64(_END), np.uint64(0))
-        return mix(mix(into + (at - low).astype(np.uint64)) * np.uint64(3) + out + (high - at).astype(np.uint64))
-
-    def split(self, states: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """By the nodes' states (0 occurs once, 1 repeats and branches, 2 repeats and doesn't):
-        the windows that lie on nonbranching repeated paths, and those still to be compared."""
-        some = np.append(0, np.cumsum(states != 2))
-        low = np.searchsorted(self.nodes, self.windows)
-        high = np.searchsorted(self.nodes, self.windows + (self.span - self.k), "right")
-        safe = some[low] == some[high]
-        return self.windows[safe], self.windows[~safe & (states[self.node_of] > 0)]
+    def paths(self) -> np.ndarray:
+        """A hash of each node's path, which ends with its last window, and of the node's place
+        on it."""
+        low = self.windows[np.searchsorted(self.node_of, np.arange(len(self.nodes)))]
+        high = self.windows[np.searchsorted(self.node_of, np.arange(len(self.nodes)), "right") - 1] + self.span
+        place = (self.nodes - low).astype(np.uint64) << np.uint64(32) | (high - low).astype(np.uint64)
+        return mix(self.block.spans(low, high) + mix(place))
+
+    def split(self, states: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """By the nodes' states (0 occurs once, 1 repeats on a path that doesn't, 2 on one that
+        does, 3 as 2 and tells the others): the windows on repeated paths, those that are open,
+        and those that tell."""
+        own = states[self.node_of]
+        return self.windows[own >= 2], self.windows[own == 1], self.windows[own == 3]
 
 
 def _states(paths: Paths, flags: pa.Array) -> np.ndarray:
     out = np.zeros(len(paths.nodes), np.int8)
     if len(out):
-        for d, marks in enumerate(flags):
-            marks = marks.as_py()
-            if marks:
-                marks = np.array(marks, np.int64)
-                out[paths.first[d] + (marks >> 1)] = 1 + (marks & 1)
+        n = flags.value_lengths().fill_null(0).to_numpy()
+        marks = flags.flatten().to_numpy()
+        out[np.repeat(paths.first[:-1], n) + (marks >> 2)] = 1 + (marks & 3)
     return out
 
 
-def _unpacked(batch: pa.RecordBatch) -> Iterator[tuple[Block, pa.RecordBatch]]:
-    """Blocks over a batch whose texts are compressed, some rows at a time."""
-    codec, i, n = pa.Codec("zstd"), 0, batch.num_rows
-    sizes = batch.column("n_bytes").to_pylist()
-    while i < n:
-        j, held = i, 0
-        while j < n and (j == i or held + sizes[j] <= BLOCK_BYTES):
-            held += sizes[j]
-            j += 1
-        part = batch.slice(i, j - i)
-        texts = pa.array([codec.decompress(z.as_buffer(), s).to_pybytes() if s else b"" for z, s in zip(part.column("packed"), sizes[i:j], strict=True)], pa.large_binary())
-        for block in blocks(texts, limit=1 << 30):
-            yield block, part
-        i = j
-
-
 def _packed(docs: DataFrame) -> DataFrame:
     def run(batches):
-        codec = pa.Codec("zstd", 3)
         for batch in batches:
-            out, sizes = [], []
-            for t in batch.column("text"):
-                raw = t.as_buffer()
-                sizes.append(raw.size if raw else 0)
-                out.append(codec.compress(raw, asbytes=True) if raw and raw.size else b"")
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("mark"), pa.array(out, pa.binary()), pa.array(sizes, pa.int64())], [*_KEY, "packed", "n_bytes"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", *_KEY)), *pack(batch.column("text"))], ["doc_id", *_KEY, "packed", "n_bytes"])
 
-    return arrow_map(docs, run, "doc_id long, mark int, packed binary, n_bytes long")
+    return arrow_map(docs.select("doc_id", *_KEY, "text"), run, "doc_id long, d long, mark long, packed binary, n_bytes long")
 
 
 def occurrences(docs: DataFrame, span: int = SPAN, k: int = NODE) -> DataFrame:
-    """node, context, doc_id, mark, ordinal: a row for each place of a node."""
+    """node, path, d, mark, ordinal: a row for each place of a node."""
 
     def run(batches):
         for batch in batches:
-            ids, marks = batch.column("doc_id"), batch.column("mark")
             for block in blocks(batch.column("text")):
                 p = Paths(block, span, k)
                 if not len(p.nodes):
                     continue
                 row = pa.array(p.doc + block.first)
-                yield pa.RecordBatch.from_arrays([pa.array(p.hash[p.nodes].view(np.int64)), pa.array(p.contexts().view(np.int64)), ids.take(row), marks.take(row), pa.array(p.ordinal.astype(np.int32))], ["node", "context", *_KEY, "ordinal"])
+                yield pa.RecordBatch.from_arrays([pa.array(p.hash[p.nodes].view(np.int64)), pa.array(p.paths().view(np.int64)), batch.column("d").take(row), batch.column("mark").take(row), pa.array(p.ordinal.astype(np.int32))], ["node", "path", *_KEY, "ordinal"])
 
-    return arrow_map(docs, run, "node long, context long, doc_id long, mark int, ordinal int")
+    return arrow_map(docs.select(*_KEY, "text"), run, "node long, path long, d long, mark long, ordinal int")
 
 
-def removals(docs: DataFrame, span: int = SPAN, k: int = NODE) -> DataFrame:
-    """doc_id, mark, packed, n_bytes, flags, starts: each document with the states of its
-    repeated nodes, and the starts of the windows at branches that occur twice or more."""
-    same = lambda a, b: F.col(f"{a}.doc_id").eqNullSafe(F.col(f"{b}.doc_id")) & (F.col(f"{a}.mark") == F.col(f"{b}.mark"))
-    docs = docs.select("doc_id", "text", F.hash("text").alias("mark"))
+def repeated_paths(docs: DataFrame, span: int = SPAN, k: int = NODE) -> DataFrame:
+    """d, mark, flags (array<int>), as a table: four times the ordinal of each node that occurs
+    more than once, plus 1 if its path does, or 2 if it does and this place has to tell those
+    nodes' other paths. Counts are summed in each task first and joined to counts, so a node
+    with much of the table costs no more than others until the places are joined, where Spark
+    can split it."""
     places = stage(occurrences(docs, span, k))
-    nodes = places.groupBy("node").agg(F.count("*").alias("n"), F.min("context").alias("a"), F.max("context").alias("b"))
-    nodes = nodes.where("n > 1").select("node", F.when(F.col("a") == F.col("b"), 1).otherwise(0).alias("inner"))
-    marked = places.join(nodes, "node").select(*_KEY, (F.col("ordinal") * 2 + F.col("inner")).alias("flag"))
-    flags = marked.groupBy(*_KEY).agg(F.collect_set("flag").alias("flags"))
-    packed = _packed(docs)
-    flagged = packed.alias("p").join(flags.alias("f"), same("p", "f"), "left").select("p.*", "f.flags")
-
-    def branches(batches):
+    place = F.xxhash64(*_KEY, "ordinal")
+    paths = stage(places.groupBy("node", "path").agg(F.count("*").alias("n"), F.min(place).alias("teller")))
+    nodes = paths.groupBy("node").agg(F.sum("n").alias("all"), F.count_if(F.col("n") == 1).alias("open")).where("all > 1")
+    teller = F.when((F.col("n") > 1) & (F.col("open") > 0), F.col("teller"))
+    again = paths.join(nodes, "node").select("node", "path", (F.col("n") > 1).cast("int").alias("whole"), teller.alias("teller"))
+    state = F.when(F.col("teller") == place, 2).otherwise(F.col("whole"))
+    flags = places.join(again, ["node", "path"]).select(*_KEY, (F.col("ordinal") * 4 + state).alias("flag"))
+    out = stage(flags.groupBy(*_KEY).agg(F.collect_set("flag").alias("flags")))
+    discard(places, paths)
+    return out
+
+
+def repeated_windows(docs: DataFrame, flags: DataFrame, span: int = SPAN, k: int = NODE) -> DataFrame:
+    """d, mark, starts (array<int>), as a table: the open windows that occur twice or more.
+
+    A window that occurs twice in a block of documents is repeated, and only one of its rows
+    there has to tell the others: a very common window doesn't crowd one task."""
+
+    def run(batches):
         for batch in batches:
-            for block, part in _unpacked(batch):
+            for block, part in unpacked(batch):
                 p = Paths(block, span, k)
-                _, at = p.split(_states(p, part.column("flags")))
-                if len(at):
-                    doc = block.doc_of(at)
-                    row = pa.array(doc)
-                    h, g = block.spans(at, at + span), block.spans(at, at + span, _OTHER)
-                    g = (g & np.uint64(0x7FFFFFFF)).astype(np.int32)
-                    order = np.lexsort((g, h))
-                    new = np.append(True, (np.diff(h[order]) != 0) | (np.diff(g[order]) != 0))
-                    first, sure = np.zeros(len(at), bool), np.zeros(len(at), bool)
-                    first[order[new]] = True
-                    sure[order] = (np.bincount(np.cumsum(new) - 1) > 1)[np.cumsum(new) - 1]
-                    yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(g), part.column("doc_id").take(row), part.column("mark").take(row), pa.array((at - block.words_of[doc]).astype(np.int32)), pa.array(first), pa.array(sure)], ["h", "g", *_KEY, "start", "first", "sure"])
-
-    # a window that occurs twice in a block of documents is repeated, and only one of its rows
-    # there has to tell the others: a very common window doesn't crowd one task
-    windows = arrow_map(flagged.where("flags is not null"), branches, "h long, g int, doc_id long, mark int, start int, first boolean, sure boolean")
-    windows = stage(windows)
-    repeated = windows.where("first").groupBy("h", "g").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    alone = windows.where("not sure").join(repeated, ["h", "g"]).select(*_KEY, "start")
-    starts = windows.where("sure").select(*_KEY, "start").union(alone).groupBy(*_KEY).agg(F.collect_set("start").alias("starts"))
-    return flagged.alias("q").join(starts.alias("s"), same("q", "s"), "left").select("q.*", "s.starts")
+                _, asks, tells = p.split(_states(p, part.column("flags")))
+                at = np.concatenate([asks, tells])
+                if not len(at):
+                    continue
+                doc = block.doc_of(at)
+                row = pa.array(doc)
+                h, g = block.spans(at, at + span), block.spans(at, at + span, _OTHER)
+                order = np.lexsort((g, h))
+                new = np.append(True, (np.diff(h[order]) != 0) | (np.diff(g[order]) != 0))
+                first, sure = np.zeros(len(at), bool), np.zeros(len(at), bool)
+                first[order[new]] = True
+                sure[order] = (np.bincount(np.cumsum(new) - 1) > 1)[np.cumsum(new) - 1]
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(g.view(np.int64)), part.column("d").take(row), part.column("mark").take(row), pa.array((at - block.words_of[doc]).astype(np.int32)), pa.array(first), pa.array(sure), pa.array(np.arange(len(at)) < len(asks))], ["h", "g", *_KEY, "start", "first", "sure", "asks"])
+
+    open_ = flags.where(F.exists("flags", lambda x: x % 4 != 1))
+    rows = _packed(docs).join(open_, _KEY).select(*_KEY, "packed", "n_bytes", "flags")
+    windows = stage(arrow_map(rows, run, "h long, g long, d long, mark long, start int, first boolean, sure boolean, asks boolean"))
+    again = windows.where("first").groupBy("h", "g").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    alone = windows.where("asks and not sure").join(again, ["h", "g"]).select(*_KEY, "start")
+    starts = windows.where("asks and sure").select(*_KEY, "start").union(alone)
+    out = stage(starts.groupBy(*_KEY).agg(F.collect_set("start").alias("starts")))
+    discard(windows)
+    return out
 
 
 def dedup(docs: DataFrame, span: int = SPAN, k: int = NODE) -> DataFrame:
@@ -202,14 +189,20 @@ def digests(docs: DataFrame, span: int = SPAN, k: int = NODE) -> DataFrame:
 
 
 def _finished(docs: DataFrame, span: int, k: int, hashed: bool) -> DataFrame:
+    docs = identified(docs.select("doc_id", "text"))
+    flags = repeated_paths(docs, span, k)
+    starts = repeated_windows(docs, flags, span, k)
+    rows = _packed(docs).join(flags, _KEY, "left").join(starts, _KEY, "left").select("doc_id", "packed", "n_bytes", "flags", "starts")
+
     def run(batches):
         for batch in batches:
-            for block, part in _unpacked(batch):
+            for block, part in unpacked(batch):
                 p = Paths(block, span, k)
                 gone = np.zeros(len(block.starts) + 1, np.int64)
-                safe, _ = p.split(_states(p, part.column("flags"))) if len(p.nodes) else (p.windows, None)
-                starts = [block.words_of[d] + np.array(s.as_py(), np.int64) for d, s in enumerate(part.column("starts")) if s.is_valid]
-                for at in (safe, *starts):
+                safe, _, _ = p.split(_states(p, part.column("flags"))) if len(p.nodes) else (p.windows, None, None)
+                found = part.column("starts")
+                each = np.repeat(block.words_of[:-1], found.value_lengths().fill_null(0).to_numpy()) + found.flatten().to_numpy()
+                for at in (safe, each):
                     np.add.at(gone, at, 1)
                     np.add.at(gone, at + span, -1)
                 gone = np.cumsum(gone[:-1]) > 0
@@ -223,4 +216,4 @@ def _finished(docs: DataFrame, span: int, k: int, hashed: bool) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(texts, pa.string())], ["doc_id", "n_words", "n_removed", name])
 
     name = "kept_sha256" if hashed else "kept_text"
-    return arrow_map(removals(docs, span, k), run, f"doc_id long, n_words long, n_removed long, {name} string")
+    return arrow_map(rows, run, f"doc_id long, n_words long, n_removed long, {name} string")
