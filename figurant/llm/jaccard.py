@@ -4,12 +4,13 @@ The global order of shingles is that of their 64-bit hashes. It is cut into frag
 number of which grows with a document's set. Two sets that differ in at most h shingles agree
 on all but h fragments, so linked documents share one of their first h + 1 non-empty
 fragments: those are the join keys (small sets use single shingles, the finest fragments).
-Documents with a common key are compared with the key's hub: texts travel compressed, and
-their overlap is counted fragment by fragment and summed per pair. Documents that didn't join their hub's component are then
-compared with all others at that hub, in blocks. Documents with equal sets are one class from
-the start, and no list of pairs within a group is ever made. Before sets are fetched, pairs
-are screened by a parity bitmap of each set: bits in which two bitmaps differ are at most the
-shingles in which the sets differ, so no link is lost.
+Documents with a common key are compared with the key's hub: texts travel compressed, partial
+overlaps are counted for each of ``FRAGMENTS`` fragments of the global order, and summed per pair
+by an aggregate. Documents that didn't join their hub's component are then compared with all
+others at that hub, in blocks, whose overlaps are counted by fragment too. Documents with equal
+sets are one class from the start, and no list of pairs within a group is ever made. Before sets
+are fetched, pairs are screened by a parity bitmap of each set: bits in which two bitmaps differ
+are at most the shingles in which the sets differ, so no link is lost.
 """
 
 from __future__ import annotations
@@ -21,15 +22,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from figurant.llm.embeddings import _pairs, whole_groups
-from figurant.llm.stages import WORD, arrow_map, components, stage
-from figurant.llm.words import Block, blocks, mix
+from figurant.llm.stages import WORD, arrow_map, components, discard, stage
+from figurant.llm.words import Block, blocks, mix, pack
 
 #: The query's shingles and percent of similarity; the pipeline's are five words and 80.
 WORDS, PERCENT = 3, 90
 #: Sets of fewer shingles use single shingles as keys.
 SMALL = 64
-#: Documents of a block, and shingles of a fragment in which their overlaps are counted.
-BLOCK_DOCS, STRIP = 256, 2048
+#: Fragments of the global order by which overlaps with a hub are counted and summed (a power
+#: of two); documents and shingles of a block (on average); shingles of a fragment that blocks
+#: count at a time.
+FRAGMENTS, BLOCK_DOCS, BLOCK_SHINGLES, STRIP = 4, 256, 1 << 18, 2048
 
 #: 64-bit words of a parity bitmap.
 BITMAP = 4
@@ -129,16 +132,14 @@ def profiles(docs: DataFrame, k: int, percent: int) -> DataFrame:
 
 
 def packed_texts(docs: DataFrame) -> DataFrame:
-    """mark, packed, n_bytes: each distinct text once, compressed."""
+    """mark, packed, n_bytes: the texts, compressed; equal ones are repeated."""
 
     def run(batches):
-        codec = pa.Codec("zstd", 3)
         for batch in batches:
-            raw = [t.as_buffer() for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("mark"), pa.array([codec.compress(r, asbytes=True) for r in raw], pa.binary()), pa.array([r.size for r in raw], pa.int64())], ["mark", "packed", "n_bytes"])
+            yield pa.RecordBatch.from_arrays([batch.column("mark"), *pack(batch.column("text"))], ["mark", "packed", "n_bytes"])
 
     texts = docs.where("text <> ''").select("text", F.xxhash64("text").alias("mark"))
-    return arrow_map(texts, run, "mark long, packed binary, n_bytes long").groupBy("mark").agg(F.first("packed").alias("packed"), F.first("n_bytes").alias("n_bytes"))
+    return arrow_map(texts, run, "mark long, packed binary, n_bytes long")
 
 
 def _sets(part: pd.DataFrame, k: int) -> list[np.ndarray]:
@@ -152,7 +153,8 @@ def _sets(part: pd.DataFrame, k: int) -> list[np.ndarray]:
 
 def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     """Intersection sizes of all left with all right sets. The global order of shingles is cut
-    into fragments of ``STRIP`` that occur; partial overlaps are counted in each and summed."""
+    into fragments that hold about ``STRIP`` of these shingles; partial overlaps are counted in
+    each and summed."""
     words = np.unique(np.concatenate([*left, np.zeros(0, np.uint64)]))  # others can't overlap
     rows = []
     for part in (left, right):
@@ -164,11 +166,13 @@ def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
         order = np.argsort(at, kind="stable")
         rows.append((owner[order], at[order]))
     total = np.zeros((len(left), len(right)))
-    for low in range(0, len(words), STRIP):
+    cuts = 1 << max(0, int(np.ceil(np.log2(max(1, len(words)) / STRIP))))
+    bounds = np.searchsorted(words, np.array([k * 2**64 // cuts for k in range(cuts)], np.uint64)).tolist() + [len(words)]
+    for low, high in zip(bounds, bounds[1:], strict=False):
         dense = []
         for (owner, at), part in zip(rows, (left, right), strict=True):
-            i, j = np.searchsorted(at, [low, low + STRIP])
-            x = np.zeros((len(part), min(STRIP, len(words) - low)), np.float32)
+            i, j = np.searchsorted(at, [low, high])
+            x = np.zeros((len(part), high - low), np.float32)
             x[owner[i:j], at[i:j] - low] = 1
             dense.append(x)
         total += dense[0] @ dense[1].T
@@ -181,15 +185,23 @@ def _links(left: list[np.ndarray], right: list[np.ndarray], percent: int) -> np.
     return 100 * shared >= percent * (sizes[0][:, None] + sizes[1][None, :] - shared)
 
 
-def _with_hub(k: int, percent: int):
-    """The links of a block's documents with their hub, which is one of its rows."""
+def _with_hub(k: int):
+    """a, b, fragment, shared, total: the partial overlaps of a block's documents with their hub,
+    which is one of its rows, and the sum of both sets' sizes."""
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
         hub, rest = g[g.s == g.hub], g[g.s != g.hub]
         if hub.empty or rest.empty:
-            return pd.DataFrame({"a": [], "b": []}, dtype="int64")
-        near = _links(_sets(hub[:1], k), _sets(rest, k), percent)[0]
-        return pd.DataFrame({"a": rest.s[near], "b": rest.hub[near]}, dtype="int64")
+            return pd.DataFrame({c: [] for c in ("a", "b", "fragment", "shared", "total")}, dtype="int64")
+        (own,), sets = _sets(hub[:1], k), _sets(rest, k)
+        cuts = np.array([f * 2**64 // FRAGMENTS for f in range(1, FRAGMENTS)], np.uint64)
+        shared = np.zeros((len(sets), FRAGMENTS), np.int64)
+        for i, x in enumerate(sets):
+            at = np.minimum(np.searchsorted(own, x), len(own) - 1)
+            shared[i] = np.diff(np.searchsorted(x[own[at] == x], cuts), prepend=0, append=(own[at] == x).sum())
+        i, f = np.nonzero(shared)
+        s, total = rest.s.to_numpy(), np.array([len(x) for x in sets]) + len(own)
+        return pd.DataFrame({"a": s[i], "b": hub.s.iloc[0], "fragment": f, "shared": shared[i, f], "total": total[i]}, dtype="int64")
 
     return run
 
@@ -232,12 +244,18 @@ def _may_link(percent: int) -> Column:
     return (100 * F.least("n", "hub_n") >= percent * F.greatest("n", "hub_n")) & (apart * (100 + percent) <= total * (100 - percent))
 
 
+def _parts(more: list[Column] = ()) -> list[Column]:
+    """Aggregates of rows (s, n): their number m, and the blocks to deal them to."""
+    parts = F.greatest(F.ceil(F.count("*") / BLOCK_DOCS), F.ceil(F.sum("n") / BLOCK_SHINGLES))
+    return [F.count("*").alias("m"), parts.alias("parts"), *more]
+
+
 def _tasks(met: DataFrame, *carried: str) -> DataFrame:
-    """From rows (hub, s, outsider, ``carried``): hub, x, y, s, ``carried``, outsider. Each
+    """From rows (hub, s, n, outsider, ``carried``): hub, x, y, s, ``carried``, outsider. Each
     outsider of block x meets each document of block y, its own block too. Hubs without
     outsiders, or with one document, give no tasks."""
-    open_ = met.groupBy("hub").agg(F.count("*").alias("m"), F.count_if("outsider").alias("out")).where("out > 0 and m > 1").drop("out")
-    r = met.join(open_, "hub").withColumn("parts", F.ceil(F.col("m") / BLOCK_DOCS)).withColumn("own", F.pmod(F.xxhash64("s"), F.col("parts")))
+    open_ = met.groupBy("hub").agg(*_parts([F.count_if("outsider").alias("out")])).where("out > 0 and m > 1").drop("out", "m")
+    r = met.join(open_, "hub").withColumn("own", F.pmod(F.xxhash64("s"), F.col("parts")))
     r = r.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
     asks = r.where("outsider").select("hub", F.col("own").alias("x"), F.col("other").alias("y"), "s", *carried, F.lit(True).alias("outsider"))
     return asks.union(r.select("hub", F.col("other").alias("x"), F.col("own").alias("y"), "s", *carried, F.lit(False).alias("outsider")))
@@ -283,25 +301,32 @@ def _classified(docs: DataFrame, k: int, percent: int) -> DataFrame:
     at_hub = shared.join(hubs, "key").where("s <> hub").select("s", "hub").distinct().join(slim, "s")
     at_hub = at_hub.join(slim.select(*(F.col(c).alias(f"hub_{c}" if c != "s" else "hub") for c in slim.columns)), "hub")
     at_hub = stage(at_hub.withColumn("near", _may_link(percent)).select("hub", *slim.columns, "near"))
-    stars = at_hub.where("near").select("s", "hub")
+    discard(shared)
+    stars = at_hub.where("near").select("s", "hub", "n")
     others = stage(_screened(at_hub, percent))
     ends = stars.select("s").union(stars.select("hub")).union(others.select("s")).distinct()
     wanted = classes.join(ends, "s", "left_semi").select("s", "mark")
-    texts = stage(packed_texts(docs).join(wanted, "mark").select("s", "packed", "n_bytes"))
+    texts = packed_texts(docs).join(wanted, "mark").groupBy("s").agg(F.first("packed").alias("packed"), F.first("n_bytes").alias("n_bytes"))
+    texts = stage(texts)
 
-    count = stars.groupBy("hub").agg(F.ceil(F.count("*") / BLOCK_DOCS).alias("parts"))
+    count = stars.groupBy("hub").agg(*_parts()).drop("m")
     placed = stars.join(count, "hub").select("hub", F.pmod(F.xxhash64("s"), F.col("parts")).alias("x"), "s")
     every = count.select("hub", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("x"), F.col("hub").alias("s"))
-    links = stage(placed.union(every).join(texts, "s").groupBy("hub", "x").applyInPandas(_with_hub(k, percent), "a long, b long"))
+    partial = placed.union(every).join(texts, "s").groupBy("hub", "x").applyInPandas(_with_hub(k), "a long, b long, fragment int, shared long, total long")
+    summed = partial.groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.first("total").alias("total"))
+    links = stage(summed.where(100 * F.col("shared") >= percent * (F.col("total") - F.col("shared"))).select("a", "b"))
     first = components(links)
 
     # what isn't in its hub's component meets everything at that hub
-    members = stars.union(others.select("s", "hub")).distinct()
+    members = stars.select("s", "hub").union(others.select("s", "hub")).distinct().join(classes.select("s", "n"), "s")
     met = _labelled(members, first).join(first.select(F.col("id").alias("hub"), F.col("component").alias("hub_component")), "hub", "left")
-    met = stage(met.select("hub", "s", "component", (F.col("component") != F.coalesce("hub_component", "hub")).alias("outsider")))
+    met = stage(met.select("hub", "s", "n", "component", (F.col("component") != F.coalesce("hub_component", "hub")).alias("outsider")))
+    discard(at_hub, others, links)
     tasks = _tasks(met, "component").join(texts, "s")
     rest = stage(tasks.groupBy("hub", "x", "y").applyInPandas(_compare(k, percent), "a long, b long"))
+    discard(met, texts)
     second = components(rest)
+    discard(rest)
     joined = first.join(second.select(F.col("id").alias("component"), F.col("component").alias("c2")), "component", "left").select("id", F.coalesce("c2", "component").alias("component"))
     alone = second.join(first, "id", "left_anti").select("id", "component")
     named = _labelled(classes.select(*same, "rep"), joined.union(alone))
@@ -333,13 +358,12 @@ def linked(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame
 def deduplicated(docs: DataFrame, k: int, percent: int) -> DataFrame:
     """``docs`` with one row of each component: that of the smallest doc_id (null last), of
     equal ids that of the smallest text hash. Documents without words all stay. All columns
-    are kept."""
+    are kept, whatever their names."""
+    key = ["d", "none", "mark"]
     rows = _classified(docs, k, percent).where("n > 0")
-    chosen = rows.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")).alias("c"))
-    chosen = chosen.select(F.col("c.doc_id").alias("__id"), F.col("c.mark").alias("__m"))
-    marked = docs.withColumn("__mark", F.xxhash64("text"))
-    joined = marked.join(chosen, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__mark") == F.col("__m")), "left")
-    again = F.row_number().over(Window.partitionBy("doc_id", "__mark").orderBy("__mark"))
-    wordless = ~F.coalesce("text", F.lit("")).rlike(WORD)
-    kept = joined.withColumn("__again", again).where(wordless | (F.col("__m").isNotNull() & (F.col("__again") == 1)))
-    return kept.select(*docs.columns)
+    chosen = rows.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("d"), "mark")).alias("c")).select("c.*")
+    marked = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.coalesce("doc_id", F.lit(0)).alias("d"), F.col("doc_id").isNull().alias("none"), F.xxhash64("text").alias("mark"))
+    wordless = ~F.coalesce("row.text", F.lit("")).rlike(WORD)
+    joined = marked.join(chosen.withColumn("chosen", F.lit(True)), key, "left").where(wordless | F.col("chosen"))
+    again = F.row_number().over(Window.partitionBy(*key).orderBy("chosen"))
+    return joined.withColumn("again", again).where(wordless | (F.col("again") == 1)).select(*(F.col(f"row.`{c}`").alias(c) for c in docs.columns))

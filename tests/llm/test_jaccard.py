@@ -97,3 +97,30 @@ def test_fragments_suffice_for_every_size():
                     bits = {int(jaccard.cut_bits(size, percent)[0]), int(jaccard.cut_bits(size * 100 // percent, percent)[0])}
                     keys.append({int(v) for w in bits for v in jaccard._keys(d, x, np.array([w]), h + 1)[1]})
                 assert keys[0] & keys[1]
+
+
+def test_columns_of_any_name(spark):
+    rows = [(1, "a b c d e f", 1, 2, 3, 4, 5), (2, "a b c d e f", 1, 2, 3, 4, 5), (3, None, 1, 2, 3, 4, 5), (3, "z", 1, 2, 3, 4, 5), (3, "z", 1, 2, 3, 4, 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, `row` int, chosen int, d int, `a.b` int, again int")
+    out = jaccard.deduplicated(docs, 5, 80)
+    assert out.columns == docs.columns
+    assert sorted(map(tuple, out.collect()), key=str) == sorted([rows[0], rows[2], rows[3]], key=str)
+
+
+def test_partial_overlaps_make_up_the_whole():
+    import numpy as np
+    import pandas as pd
+    import pyarrow as pa
+
+    from figurant.llm.words import pack
+
+    texts = [" ".join(f"w{(i * j) % 97}" for i in range(200)) for j in (1, 2, 3)]
+    packed, sizes = pack(pa.array(texts))
+    g = pd.DataFrame({"hub": 7, "s": [7, 8, 9], "packed": packed.to_pylist(), "n_bytes": sizes.to_pylist()})
+    out = jaccard._with_hub(3)(g)
+    assert out.fragment.nunique() == jaccard.FRAGMENTS
+    sets = [shingles(t, 3) for t in texts]
+    for k, s in ((1, 8), (2, 9)):
+        part = out[out.a == s]
+        assert part.shared.sum() == len(sets[0] & sets[k]) and set(part.total) <= {len(sets[0]) + len(sets[k])}
+    assert np.array_equal(jaccard.overlaps(jaccard._sets(g, 3), jaccard._sets(g, 3)), [[len(a & b) for b in sets] for a in sets])
