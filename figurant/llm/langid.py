@@ -3,7 +3,8 @@
 The likelihood of the text under each language comes from byte trigrams; a flat "und" model
 stands for text of no known language. Declared language and address suffix add likelihoods,
 and the host adds a prior that is smoothed towards its domain's, and that towards the whole
-corpus's. Counts for all three are grouped aggregates over every row.
+corpus's. Counts for all three are grouped aggregates over every row; what a row itself adds to
+them is taken off again before it is judged, so that its text counts once.
 """
 
 from __future__ import annotations
@@ -20,8 +21,9 @@ from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 from figurant.llm.stages import arrow_map, stage
 from figurant.llm.words import _LOWER, Block, blocks, mix
 
-#: Expected number of labelled documents that the text model is fit on, and most languages.
-FIT_DOCS, MAX_LANGUAGES = 4000, 64
+#: Expected number of distinct texts of a label that the text model is fit on at most, and the
+#: most labels.
+FIT_TEXTS, MAX_LANGUAGES = 1000, 64
 #: Trigram classes; trigrams that count as evidence at most (they aren't independent).
 BUCKETS, EVIDENCE = 1 << 14, 100
 #: Chance that a declared language is right; weight of the coarser prior at each level, in rows.
@@ -59,12 +61,16 @@ def _trigrams(block: Block) -> tuple[np.ndarray, np.ndarray]:
     return doc[at], (mix(code) % np.uint64(BUCKETS)).astype(np.int64)
 
 
-def fit(labelled: DataFrame, docs: int = FIT_DOCS) -> Model:
-    """Fit the text model on about ``docs`` of the rows (text, lang), chosen by a hash of the
-    text. At most ``MAX_LANGUAGES`` labels are used, the commonest of the sample."""
-    rows = labelled.where("lang is not null and text is not null")
-    total = max(1, rows.count())
-    rows = rows.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, docs / total)))
+def fit(labelled: DataFrame, texts: int = FIT_TEXTS) -> Model:
+    """Fit the text model on rows (text, lang): about ``texts`` distinct texts, chosen by hash,
+    of each of the ``MAX_LANGUAGES`` labels that have most distinct texts in all rows (counted
+    approximately; ties by name). Labels are lower-cased. So a rare label has a model however
+    large the table is, and copies of a text count once."""
+    rows = labelled.where("lang is not null and text is not null").select(F.lower("lang").alias("lang"), "text", F.xxhash64("text").alias("h"))
+    known = rows.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()
+    names = [r["lang"] for r in known]
+    least = F.create_map(*(x for r in known for x in (F.lit(r["lang"]), F.lit(int((1 << 30) * min(1.0, texts / max(1, r["n"]))))))) if known else F.create_map(F.lit(""), F.lit(0))
+    rows = rows.where(F.col("lang").isin(names) & (F.pmod("h", F.lit(1 << 30)) < F.element_at(least, F.col("lang")))).dropDuplicates(["lang", "h"])
 
     def count(batches):
         sums: dict[str, np.ndarray] = {}
@@ -74,17 +80,15 @@ def fit(labelled: DataFrame, docs: int = FIT_DOCS) -> Model:
                 doc, cls = _trigrams(_lowered(block))
                 bounds = np.searchsorted(doc, np.arange(block.n_docs + 1))
                 for d in range(block.n_docs):
-                    lang = langs[block.first + d].lower()
-                    if lang in sums or len(sums) < 4 * MAX_LANGUAGES:
-                        sums.setdefault(lang, np.zeros(BUCKETS, np.int64))
-                        sums[lang] += np.bincount(cls[bounds[d] : bounds[d + 1]], minlength=BUCKETS)
+                    c = sums.setdefault(langs[block.first + d], np.zeros(BUCKETS, np.int64))
+                    c += np.bincount(cls[bounds[d] : bounds[d + 1]], minlength=BUCKETS)
         for lang, c in sums.items():
             at = np.flatnonzero(c)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int64()), pa.array(c[at], pa.int64())], ["lang", "cls", "c"])
 
+    # MAX_LANGUAGES x BUCKETS rows at most
     counts = arrow_map(rows.select("text", "lang"), count, "lang string, cls long, c long").groupBy("lang", "cls").agg(F.sum("c").alias("c")).toPandas()
-    order = counts.groupby("lang").c.sum().sort_values(ascending=False, kind="stable").index[:MAX_LANGUAGES]
-    languages = sorted(order)
+    languages = sorted(set(counts.lang))
     logs = np.zeros((len(languages) + 1, BUCKETS))
     for i, lang in enumerate(languages):
         part = counts[counts.lang == lang]
@@ -134,27 +138,40 @@ def _smoothed(counts: Column, coarser: Column) -> Column:
     return F.zip_with(counts, coarser, lambda c, p: (c + SMOOTH * p) / (total + SMOOTH))
 
 
-def evidence(best: DataFrame, model: Model) -> tuple[DataFrame, DataFrame]:
-    """From rows (host, domain, suffix, best): the prior of each host, and the likelihood of
-    each suffix, as arrays over the languages. All rows count; partial sums are made in each
-    task, so a host with much of the table costs no more than others."""
+class Evidence(NamedTuple):
+    hosts: DataFrame  # h, hd, c, d: counts of the languages on each host and its domain
+    suffixes: DataFrame  # x, sc: those of each suffix
+    overall: list[float]  # those of all rows
+    with_suffix: list[float]  # those of rows that have a suffix
+    n_suffixes: int
+
+
+def evidence(best: DataFrame, model: Model) -> Evidence:
+    """Counts of the likeliest languages from rows (host, domain, suffix, best), as arrays over
+    the languages. All rows count; partial sums are made in each task, so a host with much of
+    the table costs no more than others."""
     languages = model.languages
-    hosts = best.groupBy("host", "domain").agg(_counts(languages).alias("c"))
     add = lambda name: F.array(*(F.sum(F.get(name, F.lit(i))) for i in range(len(languages))))
-    hosts = stage(hosts)
-    base = F.array(*(F.lit(UND_PRIOR if k == UND else (1 - UND_PRIOR) / (len(languages) - 1)) for k in languages)) if len(languages) > 1 else F.array(F.lit(1.0))
-    overall = hosts.agg(add("c").alias("o")).select(_smoothed(F.coalesce("o", F.array(*[F.lit(0.0)] * len(languages))), base).alias("overall"))
-    overall = overall.select(F.transform("overall", lambda x: F.coalesce(x, F.lit(1.0 / len(languages)))).alias("overall"))
-    overall = [float(x) for x in overall.first()["overall"]]  # one number for each language
-    top = F.array(*map(F.lit, overall))
-    domains = hosts.groupBy("domain").agg(add("c").alias("d")).select(F.col("domain").alias("k"), _smoothed(F.col("d"), top).alias("prior_d"))
-    priors = hosts.join(domains, F.col("domain").eqNullSafe(F.col("k"))).select(F.col("host").alias("h"), F.col("domain").alias("hd"), _smoothed(F.col("c"), F.col("prior_d")).alias("prior"))
-    suffixes = best.where("suffix is not null").groupBy("suffix").agg(_counts(languages).alias("c"))
-    suffixes = stage(suffixes)
-    n = suffixes.count()
-    per = [float(x or 0.0) for x in suffixes.agg(add("c").alias("s")).first()["s"]]
-    each = F.zip_with("c", F.array(*map(F.lit, per)), lambda c, t: (c + 1.0) / (t + n))
-    return stage(priors), stage(suffixes.select(F.col("suffix").alias("x"), each.alias("suffix_likelihood")))
+    numbers = lambda df, name: [float(x or 0.0) for x in df.agg(add(name).alias("s")).first()["s"]]  # noqa: E731  one for each language
+    hosts = stage(best.groupBy("host", "domain").agg(_counts(languages).alias("c")))
+    domains = hosts.groupBy("domain").agg(add("c").alias("d")).select(F.col("domain").alias("k"), "d")
+    joined = hosts.join(domains, F.col("domain").eqNullSafe(F.col("k"))).select(F.col("host").alias("h"), F.col("domain").alias("hd"), "c", "d")
+    suffixes = stage(best.where("suffix is not null").groupBy(F.col("suffix").alias("x")).agg(_counts(languages).alias("sc")))
+    return Evidence(stage(joined), suffixes, numbers(hosts, "c"), numbers(suffixes, "sc"), suffixes.count())
+
+
+def _fused(found: Evidence, languages: list[str]) -> tuple[Column, Column]:
+    """The prior and the suffix's likelihood of a row (best, c, d, sc), its own text left out."""
+    own = F.array(*(F.coalesce(F.col("best") == k, F.lit(False)).cast("double") for k in languages))
+    zeros, flat = F.array(*[F.lit(0.0)] * len(languages)), F.array(*[F.lit(1.0)] * len(languages))
+    rest = lambda counts: F.zip_with(F.coalesce(counts, zeros), own, lambda a, b: F.greatest(a - b, F.lit(0.0)))
+    base = F.array(*(F.lit(UND_PRIOR if k == UND else (1 - UND_PRIOR) / (len(languages) - 1)) for k in languages)) if len(languages) > 1 else flat
+    prior = base
+    for counts in (F.array(*map(F.lit, found.overall)), F.col("d"), F.col("c")):
+        prior = _smoothed(rest(counts), prior)
+    n = float(max(1, found.n_suffixes))
+    suffix = F.zip_with(rest(F.col("sc")), rest(F.array(*map(F.lit, found.with_suffix))), lambda c, t: (c + 1.0) / (t + n))
+    return prior, F.when(F.col("sc").isNotNull(), suffix).otherwise(flat)
 
 
 def identify(rows: DataFrame, model: Model) -> DataFrame:
@@ -173,15 +190,16 @@ def identify(rows: DataFrame, model: Model) -> DataFrame:
     given, made = ("text", "declared", "host", "domain", "suffix"), ("language", "posterior", "text_language", "accepted")
     others = [c for c in rows.columns if c not in given + made]
     slim = rows.select("text", "host", "domain", "suffix")
-    priors, suffixes = evidence(scored(slim, model).select("host", "domain", "suffix", "best"), model)
+    found = evidence(scored(slim, model).select("host", "domain", "suffix", "best"), model)
     s = scored(rows.select(F.struct(F.lit(0).alias("_"), *(F.col(f"`{c}`") for c in others)).alias("__row"), *given), model)
-    s = s.join(priors, F.col("host").eqNullSafe(F.col("h")) & F.col("domain").eqNullSafe(F.col("hd")), "left").join(suffixes, F.col("suffix") == F.col("x"), "left")
+    s = s.join(found.hosts, F.col("host").eqNullSafe(F.col("h")) & F.col("domain").eqNullSafe(F.col("hd")), "left").join(found.suffixes, F.col("suffix") == F.col("x"), "left")
+    prior, suffix = _fused(found, known)
     flat = F.array(*[F.lit(1.0)] * len(known))
     claim = F.lower(F.regexp_extract(F.coalesce("declared", F.lit("")), "^[A-Za-z]+", 0))
     wrong = (1 - DECLARED_RIGHT) / max(1, len(known) - 1)
     said = F.when(claim.isin(known[:-1]), F.array(*(F.when(claim == k, F.lit(DECLARED_RIGHT)).otherwise(F.lit(wrong)) for k in known))).otherwise(flat)
     logs = F.col("scores")
-    for part in (said, F.coalesce("prior", flat), F.coalesce("suffix_likelihood", flat)):
+    for part in (said, prior, suffix):
         logs = F.zip_with(logs, part, lambda a, p: a + F.log(p))
     s = s.withColumn("__logs", logs).withColumn("__top", F.array_max("__logs"))
     s = s.withColumn("__sum", F.aggregate("__logs", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("__top"))))

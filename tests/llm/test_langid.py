@@ -1,10 +1,14 @@
 import math
 import random
+import re
+from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from figurant.llm import langid
+from figurant.llm.words import mix
 
 WORDS = {"en": "the of and house with water which that river stone", "de": "der die und haus mit wasser welche dass fluss stein über", "fr": "le les et maison avec eau qui que rivière pierre été"}
 
@@ -46,18 +50,73 @@ def test_fusion(spark, model):
     assert out[204].language == "und" and not out[204].accepted
 
 
-def test_priors_are_smoothed_by_level(spark, model):
-    best = spark.createDataFrame([("a.x.de", "x.de", "de", "de")] * 6 + [("b.x.de", "x.de", "de", "fr")] * 2 + [("c.y.fr", "y.fr", "fr", "fr")] * 4 + [(None, None, None, "en"), ("d", "d", "d", None)], "host string, domain string, suffix string, best string")
-    priors, suffixes = langid.evidence(best, model)
-    s, n = langid.SMOOTH, 4
-    base = [(1 - langid.UND_PRIOR) / 3] * 3 + [langid.UND_PRIOR]
-    mixed = lambda c, p: [(x + s * y) / (sum(c) + s) for x, y in zip(c, p)]
-    overall = mixed([6, 1, 6, 0], base)
-    want = mixed([0, 0, 2, 0], mixed([6, 0, 2, 0], overall))
-    got = {x.h: x.prior for x in priors.collect()}
-    assert got["b.x.de"] == pytest.approx(want) and got["d"] == pytest.approx(overall) and len(got) == 5
-    like = {x.x: x.suffix_likelihood for x in suffixes.collect()}
-    assert like["de"] == pytest.approx([7 / 9, 1 / 3, 3 / 9, 1 / 3]) and n == 4
+LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
+
+
+def plain_scores(t, model):
+    """Trigram by trigram."""
+    x = (t or "").encode().translate(LOWER)
+    prose, letter = set(b"abcdefghijklmnopqrstuvwxyz \t\n.,'-") | set(range(128, 256)), set(b"abcdefghijklmnopqrstuvwxyz") | set(range(128, 256))
+    codes = [x[i] | x[i + 1] << 8 | x[i + 2] << 16 for i in range(len(x) - 2) if prose >= set(x[i : i + 3]) and letter & set(x[i : i + 3])]
+    cls = [int(mix(np.array([c], np.uint64))[0]) % langid.BUCKETS for c in codes]
+    return [sum(row[c] for c in cls) * (min(len(cls), langid.EVIDENCE) / len(cls) if cls else 0) for row in model.logs], bool(cls)
+
+
+def plain(rows, model):
+    """rows (text, declared, host, domain, suffix): language, posterior, accepted of each, with
+    every count taken over the other rows."""
+    names, k = model.languages, len(model.languages)
+    scores, best = [], []
+    for r in rows:
+        x, seen = plain_scores(r[0], model)
+        scores.append(x)
+        best.append(x.index(max(x)) if seen else None)
+    out = []
+    for i, (t, declared, host, domain, suffix) in enumerate(rows):
+        others = [(rows[j], best[j]) for j in range(len(rows)) if j != i and best[j] is not None]
+        prior = [(1 - langid.UND_PRIOR) / (k - 1)] * (k - 1) + [langid.UND_PRIOR]
+        for same in (lambda r: True, lambda r: r[3] == domain, lambda r: r[2:4] == (host, domain)):
+            c = Counter(b for r, b in others if same(r))
+            prior = [(c[j] + langid.SMOOTH * prior[j]) / (sum(c.values()) + langid.SMOOTH) for j in range(k)]
+        n, here, all_ = len({r[4] for r in rows if r[4] is not None}), Counter(b for r, b in others if r[4] == suffix), Counter(b for r, b in others if r[4] is not None)
+        like = [(here[j] + 1) / (all_[j] + n) if suffix is not None else 1 for j in range(k)]
+        claim = re.match("[A-Za-z]*", declared or "")[0].lower()
+        said = [(0.9 if names[j] == claim else 0.1 / (k - 1)) if claim in names[:-1] else 1 for j in range(k)]
+        logs = [a + math.log(p * q * v) for a, p, q, v in zip(scores[i], prior, like, said)]
+        top = max(logs)
+        language, posterior = names[logs.index(top)], 1 / sum(math.exp(x - top) for x in logs)
+        seen = re.search(r"[A-Za-z]|[^\x00-\x7F]", t or "")
+        out.append((language, posterior, language != "und" and posterior >= 0.5) if seen else (None, None, False))
+    return out
+
+
+def test_pages_against_a_plain_run(spark, model):
+    pages = langid.page_evidence(spark.read.parquet("/root/testdata/sf0.001/pages.parquet")).where("length(text) < 4000")
+    r = random.Random(5)
+    odd = [(-k, text(r, lang, 3), said, host, dom, suf) for k, (lang, said, host, dom, suf) in enumerate([("de", "fr", "solo.de", "solo.de", "de"), ("fr", None, None, None, None), ("en", "de-AT", "a.b.c", "b.c", "c")], 1)]
+    odd += [(-9, None, "de", "a.b.c", "b.c", "c"), (-10, "12 34", None, "a.b.c", "b.c", "c"), (-11, "x", "en", "a.b.c", "b.c", "c")]
+    rows = pages.select("page_id", "text", "declared", "host", "domain", "suffix").union(spark.createDataFrame(odd, "page_id long, text string, declared string, host string, domain string, suffix string")).orderBy("page_id")
+    plain_rows = [tuple(x) for x in rows.collect()]
+    fitted = langid.fit(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"))
+    got = {x.page_id: x for x in langid.identify(rows, fitted).collect()}
+    for (i, *_), (language, posterior, accepted) in zip(plain_rows, plain([x[1:] for x in plain_rows], fitted)):
+        assert (got[i].language, got[i].accepted) == (language, accepted), i
+        assert got[i].posterior == (posterior if posterior is None else pytest.approx(posterior, abs=1e-9))
+
+
+def test_a_text_does_not_back_itself(spark, model):
+    """A lone host's prior comes from the others: with or without a host, the same posterior."""
+    r = random.Random(7)
+    rows = [(1, "mit", None, "lone.example", "lone.example", None, "")] + [(2 + i, text(r, "en", 30), None, "b.y.com", "y.com", None, "") for i in range(20)]
+    out = {x.id: x for x in langid.identify(frame(spark, rows), model).collect()}
+    ((_, posterior, _), *_) = plain([x[1:6] for x in rows], model)
+    assert out[1].posterior == pytest.approx(posterior)
+
+
+def test_rare_labels_have_a_model(spark):
+    r = random.Random(3)
+    rows = [(text(r, "en", 6), "en") for _ in range(3000)] + [(text(r, "de", 30), "de") for _ in range(3)] + [("copy of one text", "xx")] * 500
+    assert langid.fit(spark.createDataFrame(rows, "text string, lang string"), texts=50).languages == ["de", "en", "xx", "und"]
 
 
 def test_pages(spark):
