@@ -39,8 +39,8 @@ def test_texts_headers_and_notices():
 
 def test_every_sentence_holds_an_anchor_and_every_rule_is_known():
     for s in L.known_sentences():
-        assert any(normal in s for normal in ("licen", "copyright", "permission", "redistribut", "free software", "unencumbered", "warrant", "under")), s
-    ids = set(L.known_sentences().values())
+        assert any(normal in s for normal in ("licen", "copyright", "permission", "redistribut", "free software", "unencumbered", "warrant", "under", "free to copy", "mpl", "warranties", "as is")), s
+    ids = set(L.known_sentences().values()) | set(L.operands().values()) | {f"spdx-with-{e}" for e in L.EXCEPTIONS}
     assert all(set(rule) <= ids for _, rule in L.RULES)
     for text in L.SENTENCES.values():
         assert any(a in text.lower() for a in L.ANCHORS)
@@ -48,7 +48,7 @@ def test_every_sentence_holds_an_anchor_and_every_rule_is_known():
 
 def brute(text):
     """Every pair of cut points of either kind, then every rule at every place."""
-    known = L.known_sentences()
+    known = L.known_sentences() | {L.normalise("SPDX-License-Identifier: MIT"): "spdx-MIT"}
     found = {}
     for joined in (False, True):
         cuts = {0, len(text)}
@@ -96,9 +96,11 @@ def test_frames(spark):
 
 def test_each_sentence_and_each_rule_is_recognised(spark):
     notice = "Released under the {}."
-    full = {**L.SENTENCES, **{f"notice-{n}": notice.format(x[0]) for n, x in L.NAMES.items()}, **{f"spdx-{n}": f"SPDX-License-Identifier: {n}" for n in L.NAMES}}
+    full = {**L.SENTENCES, **{f"notice-{n}": notice.format(x[0]) for n, x in L.NAMES.items()}, **{f"spdx-{n}": f"SPDX-License-Identifier: {n}" for n in L.spdx_names()}}
     cases = [((i,), full[i], None) for i in full]
     for name, rule in L.RULES:
+        if rule[-1].startswith("spdx-with-"):
+            continue
         first = next(n for n, r in L.RULES if r == rule)
         cases += [(rule, gap.join(wrapped(full[i], width, lead) for i in rule), first) for gap, width, lead in (("\n", 10_000, ""), ("\n\n", 60, "// "))]
     docs = spark.createDataFrame([(k, text) for k, (_, text, _) in enumerate(cases)], "doc_id long, text string")
@@ -114,3 +116,24 @@ def test_header_with_a_stop_in_its_version():
     assert name == "MPL-2.0" and header[a:b].startswith("This Source") and header[a:b].endswith("v. 2.0")
     assert names(header.replace("v. 2.0", "v. 3.0")) == names(header.replace("v. 2.0", "v. 2.01")) == []
     assert names(header.replace(", v. 2.0. If", ", v.\n * 2.0. If")) == ["MPL-2.0"]
+
+
+def test_expressions():
+    say = lambda x: names(f"// SPDX-License-Identifier: {x}\nint main() {{}}")
+    assert say("GPL-3.0-or-later") == say("GPL-3.0+") == ["GPL-3.0-or-later"] and say("GPL-2.0-only") == say("GPL-2.0") == ["GPL-2.0"]
+    assert say("MIT OR Apache-2.0") == ["MIT", "Apache-2.0"] and say("(mit AND ISC) or 0BSD */") == ["MIT", "ISC", "0BSD"]
+    assert say("GPL-2.0-only WITH Classpath-exception-2.0") == ["GPL-2.0 WITH Classpath-exception-2.0"]
+    assert say("Apache-2.0 WITH LLVM-exception OR MIT") == ["Apache-2.0 WITH LLVM-exception", "MIT"]
+    assert say("LicenseRef-own") == say("Nothing-9") == say("") == []
+
+
+def test_notices_that_point_to_a_file():
+    for tail in (" - see the LICENSE file for details", "; see the [LICENSE](LICENSE) file for details", " - see LICENSE.md for more information"):
+        assert names(f"This project is licensed under the MIT License{tail}.") == ["MIT"]
+    assert names("This project is licensed under the ISC License") == ["ISC"]
+
+
+def test_room_within_a_sentence():
+    s = L.SENTENCES["unlicense-grant"]
+    assert names(s.replace(" ", " " * 3000)) == names("\n".join(["x"] * 5000 + [s.replace(" ", "\t*  ")])) == ["Unlicense"]
+    assert names(s.replace("software", "software " + "word " * 3000)) == []
