@@ -7,12 +7,11 @@ from figurant.llm import embeddings
 
 
 def brute(rows, cosine):
-    fit = [v is not None and len(v) == 24 and all(x is not None and math.isfinite(x) for x in v) and any(v) for _, v in rows]
+    fit = [v is not None and all(x is not None and math.isfinite(x) for x in v) and any(v) for _, v in rows]
     at = [i for i, f in enumerate(fit) if f]
-    m = np.array([rows[i][1] for i in at], np.float32).astype(float)
-    m /= np.linalg.norm(m, axis=1, keepdims=True)
-    near = m @ m.T >= cosine
-    np.fill_diagonal(near, False)
+    m = [np.array(rows[i][1], np.float32).astype(float) for i in at]
+    m = [v / np.linalg.norm(v) for v in m]
+    near = np.array([[i != j and len(a) == len(b) and a @ b >= cosine for j, b in enumerate(m)] for i, a in enumerate(m)])
     top = list(range(len(rows)))
 
     def find(x):
@@ -37,7 +36,7 @@ def made(seed):
         base = r.normal(size=24)
         for _ in range(int(r.choice([1, 1, 2, 3, 30]))):
             rows.append((len(rows), (base + r.normal(size=24) * r.choice([0.0, 0.05, 0.15])).tolist()))
-    rows += [(2000, None), (2001, []), (2002, [0.0] * 24), (2003, [1.0] * 23 + [math.nan]), (2004, [math.inf] * 24), (2005, [1.0] * 23 + [None]), (2006, [1.0, 2.0])]
+    rows += [(2000, None), (2001, []), (2002, [0.0] * 24), (2003, [1.0] * 23 + [math.nan]), (2004, [math.inf] * 24), (2005, [1.0] * 23 + [None]), (2006, [1.0, 2.0]), (2009, [1.0, 2.001]), (2010, [2.0, -1.0]), (2011, [-1.0] * 5), (2012, [-1.0] * 4 + [-1.1])]
     rows += [(2007, rows[4][1]), (None, rows[5][1]), rows[6], (2008, [3 * x for x in rows[7][1]])]
     return rows
 
@@ -55,6 +54,7 @@ def test_recall_and_components(spark, monkeypatch, seed):
     total, found = sum(x[1] for x in want), sum(x[1] for x in got)
     assert len(out.collect()) == len(rows) and 0.97 * total <= found <= total
     assert len(want & got) >= 0.9 * len(want)
+    assert {("2006", 1, 2006), ("2009", 1, 2006), ("2010", 0, 2010), ("2011", 1, 2011), ("2012", 1, 2011)} <= got
     assert all(r.kept == (r.vec_id is not None and r.vec_id == r.component_id) for r in out.collect())
 
 
@@ -84,8 +84,14 @@ def planted(x, cosine, seed):
     return cosine * x + math.sqrt(1 - cosine**2) * d / np.linalg.norm(d, axis=1, keepdims=True)
 
 
+def test_components_of_any_size(spark):
+    rows = [(1, [1e200, 2e200, 0.0]), (2, [1e200, 2.1e200, 0.0]), (3, [1e-300, -1e-300, 1e-310]), (4, [2e-300, -2e-300, 0.0]), (5, [0.0, 0.0, 5.0])]
+    out = embeddings.linked(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert {(r.vec_id, r.n_links, r.component_id) for r in out} == {(1, 1, 1), (2, 1, 1), (3, 1, 3), (4, 1, 3), (5, 0, 5)}
+
+
 @pytest.mark.parametrize("bits", [16, 32, 64])
-@pytest.mark.parametrize("count", [100, 2000, 47_000, 70_000, 3_000_000, 2**33])
+@pytest.mark.parametrize("count", [100, 2000, 47_000, 70_000, 10**6, 3_000_000, 10**9, 2**33])
 def test_recall_does_not_fall_with_the_count(bits, count):
     r = np.random.default_rng(bits)
     x = r.normal(size=(4000, bits)) * np.linspace(1, 2, bits) + r.normal(size=bits)
