@@ -66,15 +66,17 @@ win AS (SELECT doc_id, i, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT doc
 again AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, s) AS c FROM win) WHERE c > 1),
 rep AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 5)) AS p FROM again) GROUP BY 1),
 c AS (SELECT w.*, coalesce(rep.n, 0) AS n_rep, len(w) AS n, length(t) AS chars, length(array_to_string(w, '')) AS letters, len(regexp_extract_all(t, '[#*$%&|<>]')) AS symbols,
-  len(ls) - len(list_distinct(ls)) AS dups, {_without('[0-9]+')} AS digits, {_without('[A-Z]+')} AS caps, {_without("[.,;:!?''" + '"()-]+')} AS points, strlen(t) - length(t) AS wide,
+  len(ls) - len(list_distinct(ls)) AS dups, {_without('[0-9]+')} AS digits, {_without('[A-Z]+')} AS caps, {_without("[.,;:!?''" + '"()-]+')} AS points, {_without('[^' + chr(92) + 'x00-' + chr(92) + 'x7F]+')} AS wide,
   CASE lang {_LISTS} END AS common, list_transform(w, lambda x: lower(x)) AS lw FROM w LEFT JOIN rep ON rep.doc_id = w.doc_id),
 m AS (SELECT *, (n < {quality.BASE_WORDS} OR 100 * n_rep > {quality.BASE_REPEATED} * n) AS failed,
-  list_transform([greatest(0, letters - symbols - digits - caps - points - wide), caps, digits, points, symbols, wide, chars - letters], lambda x: CAST(x AS DOUBLE)) AS cls,
+  list_transform([letters - symbols - digits - caps - points - wide, caps, digits, points, symbols, wide, chars - letters], lambda x: CAST(x AS DOUBLE)) AS cls,
   list_transform(common, lambda k: CAST(len(list_filter(lw, lambda x: x = k)) AS DOUBLE)) AS cnt FROM c),
-h AS (SELECT *, CASE WHEN common IS NOT NULL THEN list_append(cnt, n - list_sum(cnt)) END AS com FROM m),
+h AS (SELECT *, CASE WHEN common IS NOT NULL THEN list_append(cnt, n - list_sum(cnt)) END AS com,
+  common IS NOT NULL AND NOT failed AND chars >= {quality.MIN_CHARS} AND n >= {quality.MIN_WORDS} AS fit FROM m),
 ref AS (SELECT lang AS l, [{', '.join(f'sum(cls[{i}])' for i in range(1, 8))}] AS rc, [{', '.join(f'sum(com[{i}])' for i in range(1, _K + 1))}] AS rw FROM h
-  WHERE common IS NOT NULL AND NOT failed AND chars >= {quality.MIN_CHARS} AND n >= {quality.MIN_WORDS} GROUP BY 1),
-j AS (SELECT h.*, CASE WHEN chars >= {quality.MIN_CHARS} THEN {_distance('cls', 'rc')} END AS dc, CASE WHEN n >= {quality.MIN_WORDS} THEN {_distance('com', 'rw')} END AS dw FROM h LEFT JOIN ref ON h.lang = ref.l)
+  WHERE fit GROUP BY 1),
+r AS (SELECT h.*, CASE WHEN fit THEN list_transform(list_zip(rc, cls), lambda z: z[1] - z[2]) ELSE rc END AS rc, CASE WHEN fit THEN list_transform(list_zip(rw, com), lambda z: z[1] - z[2]) ELSE rw END AS rw FROM h LEFT JOIN ref ON h.lang = ref.l),
+j AS (SELECT r.*, CASE WHEN chars >= {quality.MIN_CHARS} THEN {_distance('cls', 'rc')} END AS dc, CASE WHEN n >= {quality.MIN_WORDS} THEN {_distance('com', 'rw')} END AS dw FROM r)
 SELECT doc_id, CAST(n AS BIGINT) AS n_words, CAST(letters AS BIGINT) AS word_chars, CAST(symbols AS BIGINT) AS n_symbols, CAST(dups AS BIGINT) AS n_dup_lines, CAST(n_rep AS BIGINT) AS n_repeat_words, failed AS base_failed,
   NOT failed AND coalesce(dc, 0) <= {quality.MAX_CHAR_DISTANCE} AND coalesce(dw, 0) <= {quality.MAX_WORD_DISTANCE} AS kept, round(dc, 4) AS char_distance, round(dw, 4) AS word_distance FROM j
 """
