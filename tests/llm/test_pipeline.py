@@ -9,6 +9,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from figurant.llm import langid
+from figurant.llm.stages import identified
 from tests.llm import test_jaccard, test_lines
 
 SMALL = "/root/testdata/sf0.001"
@@ -37,10 +38,11 @@ def test_every_stage_against_brute_force(spark, tmp_path_factory):
     letterless = {i for i, r in before.items() if not re.search(r"[A-Za-z]|[^\x00-\x7F]", r.text or "")}
     assert {9001, 9002, 9003} <= letterless <= set(before) - set(kept) <= letterless | {i for i, b in scores.items() if b == "und"}
 
-    marks = {r.doc_id: r.m for r in language.select("doc_id", F.hash("text").alias("m")).collect()}
+    marks = {r.doc_id: r.mark for r in identified(language.select("doc_id", "text")).collect()}
     want, _ = test_lines.brute([(i, marks[i], r.text) for i, r in kept.items()])
     got = {r.doc_id: r for r in line.collect()}
-    assert {i: r.text for i, r in got.items()} == {x[0]: x[3] for x in want}
+    assert {i: r.text for i, r in got.items()} == {x[0]: x[3] for x in want if x[3].strip()}
+    assert len(got) < len(want)  # copies lose every line, and go
     assert all(r.n_chars == len(r.text) and (r.source, r.lang) == (kept[i].source, kept[i].lang) for i, r in got.items())
 
     groups = test_jaccard.brute([(i, r.text) for i, r in got.items()], 5, 80)
@@ -72,4 +74,4 @@ def test_odd_rows_and_empty_tables(spark, tmp_path_factory):
     assert [d.count() for d in written(spark, tmp_path_factory, docs.limit(0))] == [0] * 5
     odd = spark.createDataFrame([(None, "the same words in the text again and again here", "en", None, 1)] * 3 + [(7, "other words of the text that stand here", "en", "a", 2)] * 2, docs.schema)
     counts = [d.count() for d in written(spark, tmp_path_factory, docs.where("doc_id < 60").union(odd))]
-    assert counts[0] >= 50 and counts[1] == counts[0]
+    assert counts[0] >= 50 and counts[0] - 5 <= counts[1] <= counts[0]
