@@ -283,8 +283,9 @@ def _screened(at_hub: DataFrame, percent: int) -> DataFrame:
     return arrow_map(dealt, run, "hub long, s long").distinct()
 
 
-def _classified(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """doc_id, mark, n, component, component_id for each row; the last two null where n = 0."""
+def _classified(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, list[DataFrame]]:
+    """doc_id, mark, n, component, component_id for each row, the last two null where n = 0; and
+    the tables behind that."""
     docs = docs.select("doc_id", "text")
     rows = stage(profiles(docs, k, percent))
     same = ["n", "s", "s2"]
@@ -332,7 +333,8 @@ def _classified(docs: DataFrame, k: int, percent: int) -> DataFrame:
     named = _labelled(classes.select(*same, "rep"), joined.union(alone))
     best = named.groupBy("component").agg(F.min("rep").alias("component_id"))
     named = named.join(best, "component").select(*same, "component", "component_id")
-    return rows.select("doc_id", "mark", *same).join(named, same, "left").select("doc_id", "mark", "n", "component", "component_id")
+    out = rows.select("doc_id", "mark", *same).join(named, same, "left").select("doc_id", "mark", "n", "component", "component_id")
+    return out, [rows, classes, first, second]
 
 
 def linked(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -349,7 +351,7 @@ def linked(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame
     component_id is null (and kept false). An empty table gives no rows; further columns are
     ignored. Shingles are compared by 64-bit hashes.
     """
-    out = _classified(docs, k, percent)
+    out, _ = _classified(docs, k, percent)
     component = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
     out = out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), component.alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
@@ -360,8 +362,10 @@ def deduplicated(docs: DataFrame, k: int, percent: int) -> DataFrame:
     equal ids that of the smallest text hash. Documents without words all stay. All columns
     are kept, whatever their names."""
     key = ["d", "none", "mark"]
-    rows = _classified(docs, k, percent).where("n > 0")
-    chosen = rows.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("d"), "mark")).alias("c")).select("c.*")
+    rows, held = _classified(docs, k, percent)
+    chosen = rows.where("n > 0").groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("d"), "mark")).alias("c")).select("c.*")
+    chosen = stage(chosen)  # the texts are dealt out when all else is done
+    discard(*held)
     marked = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.coalesce("doc_id", F.lit(0)).alias("d"), F.col("doc_id").isNull().alias("none"), F.xxhash64("text").alias("mark"))
     wordless = ~F.coalesce("row.text", F.lit("")).rlike(WORD)
     joined = marked.join(chosen.withColumn("chosen", F.lit(True)), key, "left").where(wordless | F.col("chosen"))

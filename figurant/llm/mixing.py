@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from figurant.llm.stages import WORD, stage
+from figurant.llm.stages import WORD, discard, stage
 
 #: Tokens of a block.
 BLOCK = 64
@@ -211,6 +211,8 @@ def mixed_documents(docs: DataFrame, seed: int = 0) -> DataFrame:
     sized, sources = prepared(docs)
     key = ["doc_id", "source", "mark", "copy"]
     spans = taken_pieces(sized, sources, seed).groupBy(*key, "epoch").agg(F.sort_array(F.collect_list(F.struct("word_from", "words"))).alias("spans"), F.sum("words").alias("t"))
+    spans = stage(spans)  # the texts are dealt out when all else is done
+    discard(sized, sources)
     both = _with_pieces(docs, spans.select(*(F.col(c).alias(f"k_{c}") for c in key), "spans", "t"))
     cut = F.flatten(F.transform("spans", _cut))
     both = both.withColumn("new_text", F.when(F.col("t") == F.size("words"), F.col("row.text")).otherwise(F.array_join(cut, " ")))
