@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -182,14 +184,15 @@ def exported_graphs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("""WITH RECURSIVE e AS (SELECT DISTINCT CAST(n_regionkey AS INTEGER) AS src, CAST(5 + n_nationkey AS INTEGER) AS dst FROM nation UNION SELECT CAST(5 + n_nationkey AS INTEGER), CAST(n_nationkey % 3 AS INTEGER) FROM nation),
-  walk(node, path) AS (SELECT 1::INTEGER, [1::INTEGER] UNION ALL SELECT e.dst, list_append(w.path, e.dst) FROM walk w JOIN e ON e.src = w.node WHERE NOT list_contains(w.path, e.dst) AND len(w.path) < 5)
+  walk(node, path) AS (SELECT 1::INTEGER, [1::INTEGER] UNION ALL SELECT e.dst, list_append(w.path, e.dst) FROM walk w JOIN e ON e.src = w.node WHERE NOT list_contains(w.path, e.dst))
   SELECT node, array_to_string(path, '>') AS path FROM walk""")
 def graph_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = views.table(spark, sf_dir, "nation")
     there = n.select(F.col("n_regionkey").cast("int").alias("src"), (F.col("n_nationkey") + 5).cast("int").alias("dst"))
     back = n.select((F.col("n_nationkey") + 5).cast("int"), (F.col("n_nationkey") % 3).cast("int"))
-    there.union(back).distinct().createOrReplaceTempView("figurant_edges")
-    return graph.paths(spark, "figurant_edges", 1, 5).select("node", F.array_join(F.col("path").cast("array<string>"), ">").alias("path"))
+    view = f"figurant_edges_{uuid.uuid4().hex}"
+    there.union(back).distinct().createOrReplaceTempView(view)
+    return graph.paths(spark, view, 1).select("node", F.array_join(F.col("path").cast("array<string>"), ">").alias("path"))
 
 
 @register(f"WITH {PANELS_SQL} SELECT fig_id, panel_id, concat(CASE WHEN pk % 4 = 0 THEN '???' ELSE concat('C', q) END, ' + ', 'O', '  -->  ', CASE WHEN sk % 3 = 0 THEN '???' ELSE concat('N', sk) END) AS step FROM panels")
