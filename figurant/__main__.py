@@ -11,6 +11,7 @@ import argparse
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from figurant.operators import spatial
 from figurant.plans import extraction
 from figurant.sources import writers
 
@@ -25,7 +26,8 @@ def main(args: list[str] | None = None) -> None:
     spark = SparkSession.builder.appName("figurant").getOrCreate()
     rows = spark.read.parquet(a.panels)
     of = lambda role: rows.where(F.col("role") == role)
-    conditions = of("conditions").withColumn("arrow_id", F.lit(1))
+    near = spatial.nearest(of("conditions"), of("arrow")).select("fig_id", "panel_id", F.col("parent_id").alias("arrow_id"))
+    conditions = of("conditions").join(near, ["fig_id", "panel_id"])
     steps = extraction.reaction_steps(of("arrow"), of("diagram"), conditions, a.width, a.height)
     writers.save_graphs(extraction.scheme(steps), a.output_dir)
 

@@ -22,8 +22,9 @@ class Model(Protocol):
 
 
 def applied(rows: DataFrame, kind: str, load: Callable[[], Model]) -> DataFrame:
-    """The model's output for ``rows``. ``load`` is called once per task. Rows of a batch that
-    fails keep their keys, with nulls in what the model would give."""
+    """The model's output for ``rows``, and ``error``. ``load`` is called once per task. Rows of
+    a batch that fails keep their keys, with nulls in what the model would give and the
+    exception's type and message as ``error``; elsewhere that is null."""
     given, made = CONTRACTS[kind]
     names = [c.split()[0] for c in made.split(", ")]
     keys = [c for c in names if c in [x.split()[0] for x in given.split(", ")]]
@@ -32,8 +33,8 @@ def applied(rows: DataFrame, kind: str, load: Callable[[], Model]) -> DataFrame:
         model = load()
         for f in frames:
             try:
-                yield model.predict(f)[names]
-            except Exception:  # noqa: BLE001  a figure that fails must not end the batch
-                yield f[keys].reindex(columns=names).astype(object).where(lambda x: x.notna(), None)
+                yield model.predict(f)[names].assign(error=None)
+            except Exception as e:  # noqa: BLE001  a figure that fails must not end the batch
+                yield f[keys].reindex(columns=names).astype(object).where(lambda x: x.notna(), None).assign(error=f"{type(e).__name__}: {e}")
 
-    return rows.mapInPandas(run, made)
+    return rows.mapInPandas(run, f"{made}, error string")

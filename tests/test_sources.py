@@ -52,8 +52,9 @@ def test_models_keep_failed_rows(spark):
             return batch.assign(smiles="C")
 
     rows = spark.createDataFrame([("f", 1, b""), ("f", 2, b"")], models.CONTRACTS["structure_recogniser"][0]).repartition(2, "panel_id")
-    got = {r.panel_id: r.smiles for r in models.applied(rows, "structure_recogniser", Half).collect()}
-    assert got == {1: "C", 2: None} or got == {1: None, 2: None}
+    got = {r.panel_id: (r.smiles, r.error) for r in models.applied(rows, "structure_recogniser", Half).collect()}
+    failed = (None, "RuntimeError: cannot")
+    assert got == {1: ("C", None), 2: failed} or got == {1: failed, 2: failed}
 
 
 def test_stream_equals_batch(spark, tmp_path):
@@ -83,6 +84,21 @@ def test_command(spark, tmp_path, monkeypatch):
     assert all(set(json.loads(r.value)) == {"adjacency", "nodes", "is_incomplete"} for r in done.collect())
 
 
+def test_command_gives_conditions_to_the_nearest_arrow(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(type(spark), "stop", lambda self: None)
+    rows = [
+        ("f", 7, 100, 200, 110, 300, "arrow", 1.0, 0.0, 100.0),
+        ("f", 1, 80, 50, 130, 150, "diagram", None, None, None),
+        ("f", 2, 80, 350, 130, 450, "diagram", None, None, None),
+        ("f", 3, 85, 220, 95, 280, "conditions", None, None, None),
+    ]
+    schema = "fig_id string, panel_id int, t int, l int, b int, r int, role string, dir_x double, dir_y double, long_side double"
+    spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "p"))
+    __main__.main(["--panels", str(tmp_path / "p"), "--output-dir", str(tmp_path / "o")])
+    (done,) = spark.read.text(str(tmp_path / "o")).collect()
+    assert "C:3" in json.loads(done.value)["nodes"]
+
+
 def test_schemas(spark):
     of = lambda ddl: spark.createDataFrame([], ddl).schema
     assert of(schemas.CONDITIONS)["yield"].dataType.elementType.names == ["value_num", "value_text", "units"]
