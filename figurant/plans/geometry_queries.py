@@ -359,8 +359,7 @@ def arrow_neighbourhoods(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register(_sql("""SELECT DISTINCT a.fig_id, a.panel_id, b.panel_id AS other_id FROM panels a JOIN panels b ON a.fig_id = b.fig_id AND a.panel_id < b.panel_id AND greatest(a.t, b.t) < least(a.b, b.b) AND greatest(a.l, b.l) < least(a.r, b.r)"""))
 def pixel_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = views.panels(spark, sf_dir)
-    rows = spatial.runs(p)
-    return spatial.shared_pixels(rows, rows).where("panel_id < other_id")
+    return spatial.shared_pixels(p, p).where("panel_id < other_id")
 
 
 @register(_sql(f"""SELECT a.fig_id, a.panel_id, CASE WHEN a.ad <= a.dd AND a.ad < a.lim AND {_normal('w', 'a')} THEN 'conditions' WHEN a.dd < a.ad AND a.dd < a.lim AND {_angle('a', 'd')} > 135 THEN 'label' ELSE a.role END AS role

@@ -167,3 +167,18 @@ def test_no_simple_path_is_left_out(spark):
     assert len(want) == 54 and sum(len(p) > 5 for p in want) == 25
     spark.range(30).selectExpr("int(id) src", "int(id + 1) dst").createOrReplaceTempView("path_line")
     assert graph.paths(spark, "path_line", 0).count() == 31
+
+
+def test_shared_pixels_against_sets(spark):
+    r = random.Random(5)
+    rows = [(f, i, t := r.randrange(20), x := r.randrange(20), t + r.randrange(0, 8), x + r.randrange(0, 8)) for f in range(6) for i in range(12)]
+    pixels_of = {(f, i): {(y, x) for y in range(t, b) for x in range(left, right)} for f, i, t, left, b, right in rows}
+    want = sorted((f, i, j) for f, i in pixels_of for g, j in pixels_of if f == g and pixels_of[f, i] & pixels_of[g, j])
+    panels = spark.createDataFrame(rows, "fig_id long, panel_id int, t int, l int, b int, r int").repartition("fig_id").cache()
+    out = spatial.shared_pixels(panels, panels)
+    assert sorted(map(tuple, out.collect())) == want
+    odd = lambda a, b: F.filter(spatial.full_runs(a, b), lambda s: s["y"] % 2 == 1)
+    want = sorted((f, i, j) for f, i in pixels_of for g, j in pixels_of if f == g and any(y % 2 for y, _ in pixels_of[f, i] & pixels_of[g, j]))
+    assert sorted(map(tuple, spatial.shared_pixels(panels, panels, odd).collect())) == want
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan  # no rows of pixels, so none are shuffled
