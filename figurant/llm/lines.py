@@ -9,6 +9,11 @@ touch an earlier block's. Edits change a block only if they touch its pair or br
 one, so alike lines nearly always agree on a block (README has the recall; the pigeonhole blocks
 of a SimHash with even weights lose half of them and more). The words of classes that meet
 in a block are then compared by edit distance.
+
+A block with many classes (a common passage, a family of near copies) isn't compared pair by pair.
+One pass over leaders joins families; among the rest, an edit changes two pairs of words at most,
+so alike lines also share one of their rarest pairs, as many as may change and one more: lines
+that share none of these are left out without loss (``Crowd``).
 """
 
 from __future__ import annotations
@@ -18,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from figurant.llm.embeddings import _blocked, _pairs, _sorted, whole_groups
+from figurant.llm.embeddings import _pairs, _sorted, whole_groups
 from figurant.llm.stages import arrow_map, components, discard, identified, stage
 from figurant.llm.words import Block, blocks, mix, pack, unpacked
 
@@ -29,6 +34,11 @@ PERCENT, MIN_WORDS = 80, 4
 #: SimHashes differ in at most RADIUS bits; in lines of APART words or more no two blocks' pairs
 #: share a word.
 KEYS, LONG, RADIUS, APART = 4, 20, 28, 8
+#: Classes above which a bucket is a crowd; words of a block of a crowd, of which two are compared
+#: at a time; pairs that are looked at together.
+CROWD, HELD, AT_ONCE = 64, 1 << 19, 1 << 18
+#: Bits of a line's words, by which unlike lines are told apart.
+MARKS = 512
 
 _KEY = ["d", "mark"]
 _KEYS = [f"k{t}" for t in range(KEYS)]
@@ -108,14 +118,21 @@ def folds(keys: np.ndarray) -> np.ndarray:
 
 
 def within(a: np.ndarray, b: np.ndarray, most: int) -> bool:
-    """Whether the edit distance of two sequences is at most ``most``. Equal ends are cut off;
-    then the columns of the distance table follow as bit vectors (whole integers) of its
-    vertical steps, a few operations for each element."""
+    """Whether the edit distance of two sequences is at most ``most``. It is if they differ in so
+    few places, with one gap where lengths differ. Else equal ends are cut off; then the columns
+    of the distance table follow as bit vectors (whole integers) of its vertical steps, a few
+    operations for each element."""
     n, m = len(a), len(b)
     if abs(n - m) > most:
         return False
     short = min(n, m)
     same = a[:short] == b[:short]
+    if abs(n - m) + int(np.count_nonzero(~same)) <= most:
+        return True
+    if n != m:  # the gap after k equal or changed places
+        ends = a[n - short :] == b[m - short :]
+        if abs(n - m) + int(np.count_nonzero(~ends)) + min(0, int(np.cumsum(ends.astype(np.int8) - same, dtype=np.int64).min())) <= most:
+            return True
     front = short if same.all() else int(same.argmin())
     a, b = a[front:], b[front:]
     short = min(len(a), len(b))
@@ -183,6 +200,18 @@ def listed(docs: DataFrame) -> DataFrame:
     return arrow_map(docs.select(*_KEY, "text"), run, f"line long, sim long, n int, d long, mark long, number int, {longs}")
 
 
+def _bucketed(rows: DataFrame) -> DataFrame:
+    """``rows`` (with bucket, s and n) of buckets of two or more, as groups (bucket, x, y): a
+    bucket, with side -1, or two blocks of a crowd, where ``side`` is the row's own."""
+    count = rows.groupBy("bucket").agg(F.count("*").alias("m"), F.sum("n").alias("held")).where("m > 1")
+    parts = F.when(F.col("m") > CROWD, F.ceil(F.col("held") / HELD))
+    r = rows.join(count, "bucket").withColumn("parts", parts).drop("m", "held")
+    r = r.withColumn("side", F.coalesce(F.pmod(F.xxhash64("s"), F.col("parts")), F.lit(-1)).cast("long"))
+    others = F.when(F.col("side") < 0, F.array(F.col("side"))).otherwise(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))
+    r = r.withColumn("other", F.explode(others)).drop("parts")
+    return r.withColumn("x", F.least("side", "other")).withColumn("y", F.greatest("side", "other")).drop("other")
+
+
 class _Group:
     """Rows of buckets, and the pairs of them that are to be compared."""
 
@@ -192,23 +221,95 @@ class _Group:
         self.folds = np.column_stack([t.column(c).to_numpy() for c in _FOLDS]).view(np.uint32)
         self.own = folds(t.column("bucket").to_numpy().view(np.uint64))
 
+    def fitting(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Which pairs have fitting lengths and SimHashes."""
+        most = np.maximum(self.n[i], self.n[j])
+        use = 100 * np.minimum(self.n[i], self.n[j]) >= PERCENT * most
+        return use & ((np.bitwise_count(self.sim[i] ^ self.sim[j]) <= RADIUS) | (most < LONG))
+
+    def here(self, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Those of the pairs that fit, each in one bucket: that of the least fold among the
+        blocks that both lines have."""
+        use = self.fitting(i, j)
+        i, j = i[use], j[use]
+        if not len(i):
+            return i, j
+        a, b = self.folds[i], self.folds[j]
+        least = np.full(len(i), 2**32 - 1, np.uint32)
+        for x in range(KEYS):
+            for y in range(KEYS):
+                least = np.where((a[:, x] == b[:, y]) & (a[:, x] > 0), np.minimum(least, a[:, x]), least)
+        use = least == self.own[i]
+        return i[use], j[use]
+
     def pairs(self):
-        """Index pairs of fitting lengths and SimHashes, each in one bucket: that of the least
-        fold among the blocks that both lines have."""
-        for i, j in _pairs(self.group, self.same, self.side):
-            most = np.maximum(self.n[i], self.n[j])
-            use = 100 * np.minimum(self.n[i], self.n[j]) >= PERCENT * most
-            use &= (np.bitwise_count(self.sim[i] ^ self.sim[j]) <= RADIUS) | (most < LONG)
-            i, j = i[use], j[use]
-            if not len(i):
-                continue
-            a, b = self.folds[i], self.folds[j]
-            least = np.full(len(i), 2**32 - 1, np.uint32)
-            for x in range(KEYS):
-                for y in range(KEYS):
-                    least = np.where((a[:, x] == b[:, y]) & (a[:, x] > 0), np.minimum(least, a[:, x]), least)
-            use = least == self.own[i]
-            yield i[use], j[use]
+        """Index pairs to be compared in buckets that are no crowds."""
+        few = np.flatnonzero(self.side < 0)
+        for i, j in _pairs(self.group[few], self.same[few], self.side[few]):
+            yield self.here(few[i], few[j])
+
+    def crowds(self) -> list[np.ndarray]:
+        """The rows of each crowd."""
+        at = np.flatnonzero(self.side >= 0)
+        return np.split(at, np.flatnonzero(np.diff(self.group[at])) + 1) if len(at) else []
+
+
+class Crowd:
+    """The pairs of neighbouring words of lines that share one: ``line`` and ``rank`` (by number
+    of lines, least first) of each, a line's own together and in order of rank. Rows of ``first``
+    are those among which a line alike to theirs has one of its own ``first``: of n words up to
+    n / 4 may be edited at 80 percent, and each edit changes two pairs at most."""
+
+    def __init__(self, words: list[np.ndarray]):
+        n = np.array([len(w) for w in words])
+        flat, line = np.concatenate(words), np.repeat(np.arange(len(n)), n)
+        inner = line[:-1] == line[1:]
+        value = mix(flat[:-1][inner] * np.uint64(3) + flat[1:][inner])
+        _, kind = np.unique(value, return_inverse=True)
+        kinds = int(kind.max()) + 1
+        line, kind = np.divmod(np.unique(line[:-1][inner] * kinds + kind), kinds)
+        often = np.bincount(kind)
+        rank = np.empty(kinds, np.int64)
+        rank[np.argsort(often, kind="stable")] = np.arange(kinds)
+        self.often = np.sort(often)
+        self.line, self.rank = np.divmod(np.sort(line * kinds + rank[kind]), kinds)
+        self.n, self.size = n, np.bincount(self.line, minlength=len(n))
+        start = np.cumsum(self.size) - self.size
+        most = 2 * (n * (100 - PERCENT) // PERCENT)
+        self.first = np.arange(len(self.line)) - start[self.line] <= most[self.line]
+        #: Lines that have the commonest of a line's first pairs.
+        self.met = self.often[self.rank[start + np.minimum(most, self.size - 1)]]
+
+    def sharing(self, i: int) -> np.ndarray:
+        """Lines that have as many pairs in common with line ``i`` as alike ones must."""
+        own = np.zeros(len(self.often), bool)
+        own[self.rank[self.line == i]] = True
+        common = np.bincount(self.line[own[self.rank]], minlength=len(self.n))
+        lost = 2 * (np.maximum(self.n, self.n[i]) * (100 - PERCENT) // 100)
+        return np.flatnonzero((common >= self.size - lost) & (common >= self.size[i] - lost))
+
+    def pairs(self, label: np.ndarray):
+        """Index pairs of lines of different labels that share one of their first pairs."""
+        line, rank = self.line[self.first], self.rank[self.first]
+        own = label[line]
+        order = np.lexsort((own, rank))
+        line, rank, own = line[order], rank[order], own[order]
+        stop = np.searchsorted(rank, rank, "right")
+        change = np.flatnonzero((np.diff(rank) != 0) | (np.diff(own) != 0)) + 1
+        after = np.append(change, len(line))[np.searchsorted(change, np.arange(len(line)), "right")]
+        n = stop - after
+        total = np.cumsum(n)
+        at = 0
+        while at < len(line):
+            done = total[at - 1] if at else 0
+            end = max(at + 1, int(np.searchsorted(total, done + AT_ONCE, "right")))
+            some = n[at:end]
+            i = np.repeat(np.arange(at, end), some)
+            j = np.arange(len(i)) - np.repeat(total[at:end] - some - done, some) + after[i]
+            if len(i):
+                i, j = line[i], line[j]
+                yield np.minimum(i, j), np.maximum(i, j)
+            at = end
 
 
 _MET = ["bucket", "x", "y", "side", "s", "sim", "n", *_FOLDS]
@@ -216,18 +317,86 @@ _MET = ["bucket", "x", "y", "side", "s", "sim", "n", *_FOLDS]
 
 def candidates(lines: DataFrame) -> DataFrame:
     """bucket, x, y, side, s (the line), sim, n, folds: lines of a bucket that have a candidate
-    there."""
+    there, and all lines of crowds."""
 
     def run(batches):
         for t, group in whole_groups(batches, ["bucket", "x", "y"]):
-            has = np.zeros(len(group), bool)
-            for i, j in _Group(t, group).pairs():
+            rows = _Group(t, group)
+            has = rows.side >= 0
+            for i, j in rows.pairs():
                 has[i] = has[j] = True
             yield from t.select(_MET).filter(pa.array(has)).to_batches()
 
     entered = lines.where("k0 is not null").select(F.col("line").alias("s"), "sim", "n", *_FOLDS, F.explode(F.array(*_KEYS)).alias("bucket")).where("bucket is not null")
     kinds = {"side": "long", "n": "int"}
-    return arrow_map(_sorted(_blocked(entered)).select(*_MET), run, ", ".join(f"{c} {kinds.get(c, 'long')}" for c in _MET))
+    return arrow_map(_sorted(_bucketed(entered)).select(*_MET), run, ", ".join(f"{c} {kinds.get(c, 'long')}" for c in _MET))
+
+
+class _Links:
+    """Links that join components among lines of which ``words`` are given. ``marks`` are the
+    bits of each line's words."""
+
+    def __init__(self, words: list[np.ndarray]):
+        self.words, self.sets = words, {}
+        self.n = np.array([len(w) for w in words])
+        bits = np.zeros((len(words), MARKS), bool)
+        bits[np.repeat(np.arange(len(words)), self.n), np.concatenate(words) & np.uint64(MARKS - 1)] = True
+        self.marks = np.packbits(bits, axis=1).view(np.uint64)
+        self.label, self.top, self.left, self.right = np.arange(len(words)), list(range(len(words))), [], []
+
+    def _find(self, a: int) -> int:
+        top = self.top
+        while top[a] != a:
+            top[a] = a = top[top[a]]
+        return a
+
+    def add(self, i: np.ndarray, j: np.ndarray) -> int:
+        """Compare pairs whose ends aren't joined yet; the number of links found."""
+        apart = self.label[i] != self.label[j]
+        i, j = i[apart], j[apart]
+        # each bit of the one that the other lacks is a word that it lacks, and so an edit
+        a, b, most = self.marks[i], self.marks[j], np.maximum(self.n[i], self.n[j]) * (100 - PERCENT) // 100
+        near = np.maximum(np.bitwise_count(a & ~b).sum(axis=1), np.bitwise_count(b & ~a).sum(axis=1)) <= most
+        words, sets, before = self.words, self.sets, len(self.left)
+        for p, q in zip(i[near].tolist(), j[near].tolist(), strict=True):
+            a, b = self._find(p), self._find(q)
+            if a == b:
+                continue
+            if p not in sets:
+                sets[p] = frozenset(words[p].tolist())
+            # each word of the one that the other lacks is an edit
+            longest = max(len(words[p]), len(words[q]))
+            common = sum(map(sets[p].__contains__, words[q].tolist()))
+            if 100 * common >= PERCENT * longest and alike(words[p], words[q]):
+                self.top[a] = b
+                self.left.append(p)
+                self.right.append(q)
+        if len(self.left) > before:
+            label = np.array(self.top)
+            while (label[label] != label).any():
+                label = label[label]
+            self.label = label
+        return len(self.left) - before
+
+
+def _compare(rows: _Group, at: np.ndarray, links: _Links) -> None:
+    """Link the lines ``at`` of a crowd. Leaders are the lines whose first pairs are the most
+    common ones, as long as some of them have a family: that saves comparing its members."""
+    crowd = Crowd([links.words[k] for k in at.tolist()])
+    free, vain, family = crowd.met > CROWD // 4, 0, max(8, int(len(at) ** 0.5))
+    while free.any() and vain < 4:
+        k = int(np.argmax(np.where(free, crowd.met, 0)))
+        near = at[crowd.sharing(k)]
+        lead = np.full(len(near), at[k])
+        fit = rows.fitting(lead, near) & (lead != near)
+        vain = 0 if links.add(lead[fit], near[fit]) >= family else vain + 1
+        free &= links.label[at] != links.label[at[k]]
+    for i, j in crowd.pairs(links.label[at]):
+        i, j = at[i], at[j]
+        use = (links.label[i] != links.label[j]) & (rows.same[i] | (rows.side[i] != rows.side[j]))
+        i, j = rows.here(i[use], j[use])
+        one = np.unique(i * len(rows.n) + j)
+        links.add(*np.divmod(one, len(rows.n)))
 
 
 def verified(found: DataFrame, contents: DataFrame) -> DataFrame:
@@ -235,35 +404,13 @@ def verified(found: DataFrame, contents: DataFrame) -> DataFrame:
 
     def run(batches):
         for t, group in whole_groups(batches, ["bucket", "x", "y"]):
-            s = t.column("s").to_numpy()
-            words = [np.frombuffer(w, np.uint64) for w in t.column("words").to_pylist()]
-            sets: dict[int, frozenset] = {}
-            label, top, left, right = np.arange(len(s)), list(range(len(s))), [], []
-            for i, j in _Group(t, group).pairs():
-                apart = label[i] != label[j]
-                before = len(left)
-                for p, q in zip(i[apart].tolist(), j[apart].tolist(), strict=True):
-                    a, b = p, q
-                    while top[a] != a:
-                        top[a] = a = top[top[a]]
-                    while top[b] != b:
-                        top[b] = b = top[top[b]]
-                    if a == b:
-                        continue
-                    if p not in sets:
-                        sets[p] = frozenset(words[p].tolist())
-                    # each word of the one that the other lacks is an edit
-                    longest = max(len(words[p]), len(words[q]))
-                    common = sum(map(sets[p].__contains__, words[q].tolist()))
-                    if 100 * common >= PERCENT * longest and alike(words[p], words[q]):
-                        top[a] = b
-                        left.append(p)
-                        right.append(q)
-                if len(left) > before:
-                    label = np.array(top)
-                    while (label[label] != label).any():
-                        label = label[label]
-            yield pa.RecordBatch.from_arrays([pa.array(s[left]), pa.array(s[right])], ["a", "b"])
+            s, rows = t.column("s").to_numpy(), _Group(t, group)
+            links = _Links([np.frombuffer(w, np.uint64) for w in t.column("words").to_pylist()])
+            for i, j in rows.pairs():
+                links.add(i, j)
+            for at in rows.crowds():
+                _compare(rows, at, links)
+            yield pa.RecordBatch.from_arrays([pa.array(s[links.left]), pa.array(s[links.right])], ["a", "b"])
 
     return arrow_map(_sorted(found.join(contents, "s")), run, "a long, b long")
 

@@ -169,3 +169,38 @@ def test_recall_against_edit_similarity_alone(spark, low, high, share):
     out = {x.doc_id: x.n_removed for x in lines.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert all(out[2 * k] == 0 for k in range(150))  # unlike lines stay
     assert sum(out[2 * k + 1] for k in range(150)) >= 0.9 * 150
+
+
+@pytest.mark.parametrize("seed", [0, 1, 2])
+def test_crowded_blocks_lose_nothing(spark, monkeypatch, seed):
+    monkeypatch.setattr(lines, "CROWD", 3)
+    monkeypatch.setattr(lines, "AT_ONCE", 50)
+    if seed:
+        monkeypatch.setattr(lines, "HELD", 60)
+    r = random.Random(seed + 10)
+    word = lambda: r.choice("abcdefgh") + str(r.randrange(60))
+    passage = [f"passagepassage{i}" for i in range(6)]
+    rows = made(seed)
+    for k in range(40):  # lines that share a passage, and families of near copies around it
+        base = [word() for _ in range(r.choice([2, 6, 20, 40]))]
+        base[1:1] = passage
+        for _ in range(r.choice([1, 1, 6])):
+            w = list(base)
+            for _ in range(r.randrange(1 + len(w) // 6)):
+                w[r.randrange(len(w))] = word()
+            rows.append((100 + len(rows), " ".join(w)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    marks = {(x.doc_id, x.text): x.mark for x in identified(docs).collect()}
+    want, merged = brute([(d, marks[d, t], t) for d, t in rows])
+    assert merged >= 20
+    assert sorted(map(tuple, lines.dedup(docs).collect()), key=str) == want
+
+
+def test_pairs_of_a_crowd_grow_with_its_alike_lines_only():
+    r = np.random.default_rng(0)
+    passage = r.integers(0, 2**63, 8, dtype=np.uint64)
+    words = [np.insert(r.integers(0, 2**63, 60, dtype=np.uint64), 20, passage) for _ in range(3000)]
+    words += [np.append(words[k][:-3], words[k][:3]) for k in range(0, 3000, 10)]
+    crowd = lines.Crowd(words)
+    found = {(int(a), int(b)) for i, j in crowd.pairs(np.arange(len(words))) for a, b in zip(i, j)}
+    assert found == {(k, 3000 + k // 10) for k in range(0, 3000, 10)}
