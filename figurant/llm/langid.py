@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from figurant.llm.stages import arrow_map, stage
-from figurant.llm.words import _LOWER, Block, blocks, mix
+from figurant.llm.words import Block, blocks, lowered, mix
 
 #: Expected number of distinct texts of a label that the text model is fit on at most, and the
 #: most labels.
@@ -43,7 +43,7 @@ _PROSE[[*b" \t\n.,'-"]] = True
 
 
 def _lowered(block: Block) -> Block:
-    return Block(block.first, block.last, _LOWER[block.raw], block.offsets, False)
+    return Block(block.first, block.last, lowered(block.raw), block.offsets, False)
 
 
 def _trigrams(block: Block) -> tuple[np.ndarray, np.ndarray]:

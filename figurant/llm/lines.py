@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from figurant.llm.embeddings import _pairs, _sorted, whole_groups
 from figurant.llm.stages import arrow_map, components, discard, identified, stage
-from figurant.llm.words import Block, blocks, mix, pack, unpacked
+from figurant.llm.words import Block, blocks, mix, pack, unpacked_texts
 
 #: Least edit similarity in percent. Lines of under MIN_WORDS words can't be that alike to
 #: another: one edit in four words or fewer leaves 75 percent at most.
@@ -70,17 +70,17 @@ _LANES = np.uint64(0x0001000100010001)
 
 def simhash(hashes: np.ndarray, weight: np.ndarray, at: np.ndarray) -> np.ndarray:
     """SimHash of each run of weighted word hashes that starts at ``at``: bit by bit what the
-    words of more than half the weight have. Four bits at a time are summed in the lanes of a
-    running total, whose differences are exact while a line's weight fits a lane."""
+    words of more than half the weight have. Four bits at a time are summed in the lanes of one
+    number, which is exact while a line's weight fits a lane."""
     ends = np.append(at[1:], len(hashes))
-    sums = np.append(0, np.cumsum(weight))
-    total = sums[ends] - sums[at]
-    out, w, run = np.empty((len(at), 64), bool), weight.astype(np.uint64), np.zeros(len(hashes) + 1, np.uint64)
+    total = np.add.reduceat(weight, at)
+    out, w, part = np.empty((len(at), 64), bool), weight.astype(np.uint64), np.empty(len(hashes), np.uint64)
     for k in range(16):
-        np.cumsum((hashes >> np.uint64(k) & _LANES) * w, out=run[1:])
-        lanes = run[ends] - run[at]
-        for lane in range(4):
-            out[:, 16 * lane + k] = 2 * (lanes >> np.uint64(16 * lane) & np.uint64(0xFFFF)).astype(np.int64) > total
+        np.right_shift(hashes, np.uint64(k), out=part)
+        np.bitwise_and(part, _LANES, out=part)
+        np.multiply(part, w, out=part)
+        lanes = np.add.reduceat(part, at).astype("<u8", copy=False).view("<u2").reshape(-1, 4)
+        out[:, k::16] = 2 * lanes.astype(np.int64) > total[:, None]
     for i in np.flatnonzero(total > 0xFFFF).tolist():
         part = slice(at[i], ends[i])
         bits = np.unpackbits(hashes[part].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
@@ -416,22 +416,21 @@ def verified(found: DataFrame, contents: DataFrame) -> DataFrame:
 
 
 def contents(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """s, words (hashes, as bytes) of the lines ``wanted`` (line, d, mark, number)."""
+    """s, words (hashes, as bytes) of the lines ``wanted`` (line, d, mark, number). Of a text
+    only those lines are split into words."""
     lists = wanted.groupBy(*_KEY).agg(F.sort_array(F.collect_list(F.struct("number", "line"))).alias("asked"))
     rows = _packed(docs).join(lists, _KEY).select(*_KEY, "packed", "n_bytes", F.col("asked.number").alias("number"), F.col("asked.line").alias("line"))
 
     def run(batches):
         for batch in batches:
-            for block, part in unpacked(batch, lower=True):
-                asked, lines = part.column("number"), part.column("line").flatten()
-                doc, number, at = word_lines(block)
-                ends = np.append(at[1:], len(block.starts))
-                code = np.repeat(np.arange(len(part)), asked.value_lengths().to_numpy()) << 32 | asked.flatten().to_numpy()
-                where = np.searchsorted(doc << 32 | number, code)
-                first, n = at[where], ends[where] - at[where]
-                bounds = np.append(0, np.cumsum(n))
-                every = np.repeat(first - bounds[:-1], n) + np.arange(bounds[-1])
-                words = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer((8 * bounds).astype(np.int32)), pa.py_buffer(block.hashes[every])])
+            for texts, part in unpacked_texts(batch):
+                held = []
+                for text, numbers in zip(texts, part.column("number").to_pylist(), strict=True):
+                    every = text.split(b"\n")
+                    held += [every[k] for k in numbers]
+                (block,) = blocks(pa.array(held, pa.large_binary()), lower=True, limit=1 << 62)
+                lines = part.column("line").flatten()
+                words = pa.Array.from_buffers(pa.binary(), len(held), [None, pa.py_buffer((8 * block.words_of).astype(np.int32)), pa.py_buffer(block.hashes)])
                 yield pa.RecordBatch.from_arrays([lines, words], ["s", "words"])
 
     return arrow_map(rows.dropDuplicates(_KEY), run, "s long, words binary")
@@ -440,19 +439,18 @@ def contents(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 def removed(docs: DataFrame) -> DataFrame:
     """d, mark, gone (array<int>): the numbers of the lines to remove, as a table."""
     every = stage(listed(docs))
-    firsts = [F.first(c).alias(c) for c in ("sim", "n", *_KEYS, *_FOLDS)]
+    # of one row each, as one aggregate takes them: some place of the line, to read its words at
+    firsts = [F.first(c).alias(c) for c in ("sim", "n", *_KEYS, *_FOLDS, *_KEY, "number")]
     classes = stage(every.groupBy("line").agg(F.count("*").alias("c"), *firsts))
     found = stage(candidates(classes))
-    place = F.min(F.struct(*_KEY, "number"))
-    asked = every.select("line", *_KEY, "number").join(found.select(F.col("s").alias("line")).distinct(), "line", "left_semi")
-    wanted = asked.groupBy("line").agg(place.alias("first")).select("line", "first.*")
+    wanted = classes.select("line", *_KEY, "number").join(found.select(F.col("s").alias("line")).distinct(), "line", "left_semi")
     links = stage(verified(found, contents(docs, wanted)))
     discard(found)
     groups = components(links).withColumnRenamed("id", "line")
     judged = classes.select("line", "c").join(groups, "line", "left").where("c > 1 or component is not null").select("line", F.coalesce("component", "line").alias("component"))
     places = stage(every.select("line", *_KEY, "number").join(judged, "line").drop("line"))
     discard(every, classes, links, groups)
-    keep = places.groupBy("component").agg(place.alias("keep"))
+    keep = places.groupBy("component").agg(F.min(F.struct(*_KEY, "number")).alias("keep"))
     out = places.join(keep, "component").where(F.struct(*_KEY, "number") != F.col("keep"))
     out = stage(out.groupBy(*_KEY).agg(F.collect_set("number").alias("gone")))
     discard(places)
@@ -476,16 +474,17 @@ def dedup(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for block, part in unpacked(batch):
+            for texts, part in unpacked_texts(batch):
                 drop = part.column("gone").to_pylist()
-                counts, texts = [], []
-                for k in range(block.n_docs):
-                    parts = block.text(k).split(b"\n")
+                counts, left = [], []
+                for text, gone in zip(texts, drop, strict=True):
+                    parts = text.split(b"\n")
                     counts.append(sum(not x.isspace() and x != b"" for x in parts))
-                    out = set(drop[k] or ())
-                    texts.append(b"\n".join([x for i, x in enumerate(parts) if i not in out]).decode())
+                    out = set(gone or ())
+                    left.append(b"\n".join([x for i, x in enumerate(parts) if i not in out]) if out else text)
                 n = [len(x or ()) for x in drop]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(counts, pa.int64()), pa.array(n, pa.int64()), pa.array(texts, pa.string())], ["doc_id", "n_lines", "n_removed", "kept_text"])
+                kept = pa.array(left, pa.binary()).cast(pa.string())
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(counts, pa.int64()), pa.array(n, pa.int64()), kept], ["doc_id", "n_lines", "n_removed", "kept_text"])
 
     return arrow_map(rows, run, "doc_id long, n_lines long, n_removed long, kept_text string")
 

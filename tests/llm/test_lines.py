@@ -4,10 +4,11 @@ import re
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from figurant.llm import embeddings, lines
 from figurant.llm.stages import identified
-from figurant.llm.words import blocks, mix
+from figurant.llm.words import Block, blocks, mix, pack
 
 WORDS = re.compile("[^\x20\x09-\x0d]+")
 
@@ -204,3 +205,19 @@ def test_pairs_of_a_crowd_grow_with_its_alike_lines_only():
     crowd = lines.Crowd(words)
     found = {(int(a), int(b)) for i, j in crowd.pairs(np.arange(len(words))) for a, b in zip(i, j)}
     assert found == {(k, 3000 + k // 10) for k in range(0, 3000, 10)}
+
+
+def test_only_lines_to_be_compared_are_split_again(spark, monkeypatch):
+    runs, split, real, init = [], [], lines.arrow_map, Block.__init__
+    monkeypatch.setattr(lines, "arrow_map", lambda df, run, schema: runs.append(run) or real(df, run, schema))
+    docs = identified(spark.createDataFrame([(1, "a")], "doc_id long, text string"))
+    lines.contents(docs, docs.select(F.lit(1).cast("long").alias("line"), "d", "mark", F.lit(0).alias("number")))
+    texts = ["\n".join(f"Line {k} of text {t}" for k in range(1000)) for t in range(2)]
+    packed, sizes = pack(pa.array(texts))
+    batch = pa.RecordBatch.from_pydict({"packed": packed, "n_bytes": sizes, "number": [[5, 7], [0]], "line": [[11, 12], [13]]})
+    monkeypatch.setattr(Block, "__init__", lambda self, first, last, data, *more: split.append(len(data)) or init(self, first, last, data, *more))
+    got = {s: w for out in runs[-1]([batch]) for s, w in zip(out.column("s").to_pylist(), out.column("words").to_pylist())}
+    assert sum(split) < 100
+    for s, line in ((11, "line 5 of text 0"), (12, "line 7 of text 0"), (13, "line 0 of text 1")):
+        (block,) = blocks(pa.array([line]))
+        assert got[s] == block.hashes.tobytes()
